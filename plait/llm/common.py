@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,34 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, spread: str) ->
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that training never sees: crc32 of the id as text, modulo 4, is 2.  Null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """Columns of each run of rows with equal first ``keys`` columns (integers without nulls), of batches sorted by them; one run is in memory at a time beside its batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        for k in range(keys):
+            v = b.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [*np.flatnonzero(change).tolist(), b.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in range(keys)):
+            yield _columns(held)
+            held = []
+        at = 0
+        for cut in cuts:
+            held.append(b.slice(at, cut - at))
+            if cut < b.num_rows:
+                yield _columns(held)
+                held = []
+            at = cut
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> list[pa.Array]:
+    if len(held) == 1:
+        return held[0].columns
+    return [pa.concat_arrays([h.column(k) for h in held]) for k in range(held[0].num_columns)]

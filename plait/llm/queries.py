@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import bpe, langid, quality, secrets, simhash, warc
+from plait.llm import bpe, decontaminate, flac, langid, quality, secrets, simhash, warc
 from plait.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -34,13 +38,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_flac": op3_flac,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 SQL: dict[str, str] = {

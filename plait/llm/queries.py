@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import bpe, decontaminate, flac, langid, quality, secrets, simhash, warc
+from plait.llm import bpe, decontaminate, flac, langid, quality, secrets, simhash, suffixes, warc
 from plait.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_flac": op3_flac,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_suffixes": op10_suffixes,
 }
 
 SQL: dict[str, str] = {

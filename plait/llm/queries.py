@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plait.llm import bpe, decontaminate, flac, langid, quality, secrets, simhash, suffixes, warc
+from plait.llm import bpe, decontaminate, flac, langid, passages, quality, secrets, simhash, suffixes, warc
 from plait.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_passages": op2_passages,
     "op3_flac": op3_flac,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,

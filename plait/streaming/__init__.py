@@ -1,0 +1 @@
+"""The join engine reads finite tables only; nothing streams."""

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import held_out
+from plait.llm.common import free_name, held_out
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -167,5 +167,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with a score of ``least`` or more, columns unchanged."""
     model = train(docs.filter(~held_out()))
-    found = predict(docs, model, lang="_lang", score="_score")
-    return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    lang, score = free_name(docs, "_lang"), free_name(docs, "_score")
+    found = predict(docs, model, lang=lang, score=score)
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

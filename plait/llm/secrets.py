@@ -22,6 +22,8 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plait.llm.common import free_name
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -148,13 +150,14 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: st
     """Add the column ``spans``: (start, kind, stop) of every match, by start, then kind's place in ``rules``; stop is exclusive."""
     whole = F.coalesce(F.col(text), F.lit(""))
     bits = _bits(rules)
-    marked = with_trigram_bitmap(docs, rules, text, "_trigrams")
+    bitmap = free_name(docs, "_trigrams")
+    marked = with_trigram_bitmap(docs, rules, text, bitmap)
     none = F.array().cast(SPAN)
     found = []
     for k, rule in enumerate(rules):
-        ready = _is_candidate(rule, bits, "_trigrams") & whole.rlike(rule.pattern)
+        ready = _is_candidate(rule, bits, bitmap) & whole.rlike(rule.pattern)
         found.append(F.when(ready, _spans(rule, k, whole)).otherwise(none))
-    return marked.withColumn(spans, F.array_sort(F.concat(*found))).drop("_trigrams")
+    return marked.withColumn(spans, F.array_sort(F.concat(*found))).drop(bitmap)
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = BASE_RULES) -> Column:
@@ -181,8 +184,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: str = "t
         return F.concat(acc["out"], F.substring(source, acc["at"] + 1, F.char_length(source)))
 
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_spans", begin, step, rest)
-    return find_secrets(docs, rules, text, "_spans").withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(source)).select(*names)
+    spans = free_name(docs, "_spans")
+    clean = F.aggregate(spans, begin, step, rest)
+    return find_secrets(docs, rules, text, spans).withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(source)).select(*names)
 
 
 def _count(spans: str, kind: int) -> Column:

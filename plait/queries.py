@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plait.catalog import Catalog
+from plait.catalog import Catalog, ColumnDef, TableDef
 from plait.functions import stats
 from plait.operators import access
 from plait.operators.joins import asof_join, join_tables
 from plait.operators.strategies import Strategy
 from plait.parser import parse
 from plait.plans.tree import Join, Scan, associate, commute, compile_tree, left_deep, left_to_right, plan, right_to_left
-from plait.sources.pipe import pipe_lines
+from plait.sources.pipe import pipe_lines, read_pipe, write_pipe
+from plait.sources.scratch import scratch_path
 from plait.spec import JoinType, Op
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -196,6 +197,27 @@ _add(
 )
 
 
+def _pipe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier written as pipe text and read back with a declared schema."""
+    df = _table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    path = scratch_path(spark, "pipe")
+    write_pipe(df, path)
+    return read_pipe(spark, path, TableDef("supplier", (ColumnDef("s_suppkey", "BIGINT"), ColumnDef("s_name", "CHAR", length=25), ColumnDef("s_nationkey", "INT"))))
+
+
+_add("pipe_round_trip", _pipe_round_trip, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+
+
+def _index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Orders laid out by customer, then a range of customers."""
+    index = access.build_index(_table(spark, d, "orders"), scratch_path(spark, "index"), "o_custkey")
+    return access.seek_range(index, "o_custkey", access.KeyRange(10, 20, False, True))
+
+
+_add("index_lookup", _index_lookup, "SELECT * FROM orders WHERE o_custkey > 10 AND o_custkey <= 20 ORDER BY o_custkey")
+_add("located_row", lambda s, d: access.with_locator(_table(s, d, "nation")).filter("locator.row = 5").drop("locator"), "SELECT * FROM nation LIMIT 1 OFFSET 5")
+
+
 # statistics
 def _exact_stats(table: str, columns: list[str]) -> tuple[Query, str]:
     def run(spark: SparkSession, d: str) -> DataFrame:

@@ -159,8 +159,14 @@ def test_removal_of_repeated_and_absent_rows(spark):
 
 # -- passages ------------------------------------------------------------------------------
 def slow_windows(hashes, least):
-    """Every passage's min-hash must be that of a window that holds it."""
+    """Every passage's min-hash must be that of a window that holds it, by the tree and by its nodes read off at once."""
+    hashes = hashes << np.uint64(20)
     found = passages.compact_windows(hashes, least)
+    text, lo, c, hi = passages.tree_nodes(np.concatenate([hashes, hashes[:least]]), np.array([len(hashes), len(hashes) + least]), least)
+    nodes = {(a, m, z) for t, a, m, z in zip(text.tolist(), lo.tolist(), c.tolist(), hi.tolist(), strict=True) if t == 0}
+    assert set(found) <= nodes
+    assert len(set(found) ^ nodes) == 0 or len(np.unique(hashes)) < len(hashes)
+    assert 1 in text
     for i in range(len(hashes) - least + 1):
         for j in range(i + least, min(i + least + 9, len(hashes)) + 1):
             least_hash = hashes[i:j].min()
@@ -169,7 +175,7 @@ def slow_windows(hashes, least):
 
 def test_windows_hold_every_passage():
     rng = np.random.default_rng(5)
-    slow_windows(rng.integers(0, 1 << 60, 150).astype(np.uint64), 10)
+    slow_windows(rng.integers(0, 1 << 40, 150).astype(np.uint64), 10)
     slow_windows(rng.integers(0, 4, 120).astype(np.uint64), 10)
     slow_windows(np.zeros(80, np.uint64), 10)
 
@@ -201,9 +207,10 @@ def test_passages_against_all_runs(spark):
     assert passages.near_passages(docs(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shared", [0, 8])
-def test_passages_of_the_corpus(spark, monkeypatch, shared):
+@pytest.mark.parametrize(("shared", "leads"), [(0, 2), (8, 64)])
+def test_passages_of_the_corpus(spark, monkeypatch, shared, leads):
     monkeypatch.setattr(passages, "SHARED", shared)
+    monkeypatch.setattr(passages, "LEADS", leads)
     rows = corpus(spark)
     runs = defaultdict(set)
     for k, t in rows:

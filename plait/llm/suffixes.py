@@ -37,7 +37,7 @@ from plait.llm.common import materialize, salted_left_join
 DEPTH = 100
 GRAM = 32
 #: Bytes looked at together; a longer text is taken in pieces.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: A gram with more open runs than this is dealt by window.
 OPEN_RUNS = 4096
 #: Suffixes sorted together, as far as grams allow.

@@ -224,6 +224,49 @@ def test_passages_of_the_corpus(spark, monkeypatch, shared, leads):
             assert None not in {got.get(k) for k in s}
 
 
+def near_rows(texts):
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def random_words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+
+
+def slow_similarity(a, b, least):
+    """The best Jaccard similarity of all stretches of ``least`` tokens or more."""
+    x, y = (passages.shingle_hashes([w.encode() for w in t]).tolist() for t in (a, b))
+    best = 0.0
+    for i in range(len(x) - least + 1):
+        for j in range(i + least, len(x) + 1):
+            p = set(x[i:j])
+            for k in range(len(y) - least + 1):
+                for m in range(k + least, len(y) + 1):
+                    q = set(y[k:m])
+                    best = max(best, len(p & q) / len(p | q))
+    return best
+
+
+def test_one_shared_hash_is_enough(spark):  # finding 2
+    loc = lambda lo, c, hi: int(passages._packed(0, np.array([lo]), np.array([c]), np.array([hi]))[0])
+    one = spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70))], "a long, loc_a long, b long, loc_b long")
+    assert passages.widest_pairs(one).count() == 1
+    # a window whose centre a wider one holds, but not the window itself, stays
+    two = spark.createDataFrame([(1, loc(0, 50, 99), 2, loc(0, 50, 99)), (1, loc(60, 80, 120), 2, loc(60, 80, 120)), (1, loc(10, 20, 80), 2, loc(10, 20, 80))], one.schema)
+    assert passages.widest_pairs(two).count() == 2
+
+
+def test_near_copies_at_the_least_similarity(spark):  # finding 2
+    rng = random.Random(22)
+    texts = []
+    for _ in range(300):
+        t = random_words(rng, 50)
+        u = [*t]
+        u[rng.randrange(10, 40)] = random_words(rng, 1)[0]
+        texts += [t, u]
+    got = {r.doc_id: r.class_id for r in passages.near_passages(docs(spark, near_rows(texts)).repartition(4)).collect()}
+    assert sum(got.get(2 * k) == got.get(2 * k + 1) == 2 * k for k in range(300)) >= 299
+
+
 # -- benchmark -----------------------------------------------------------------------------
 def slow_tiles(x, y, least):
     """Greedy tiling by comparing every pair of places."""

@@ -267,6 +267,33 @@ def test_near_copies_at_the_least_similarity(spark):  # finding 2
     assert sum(got.get(2 * k) == got.get(2 * k + 1) == 2 * k for k in range(300)) >= 299
 
 
+def test_stretches_between_the_levels():  # finding 5
+    rng = random.Random(25)
+    a = random_words(rng, 94)
+    b = [*a]
+    for k in (25, 51, 52, 53, 54):
+        b[k] = random_words(rng, 1)[0]
+    a, b = ([w.encode() for w in t] for t in (a, b))
+    assert any(a1 - a0 >= 46 and j >= 0.8 for a0, a1, _, _, j in passages.compare(a, b, 46, 0.8))
+
+
+def test_compare_against_all_stretches():  # finding 5
+    rng = random.Random(26)
+    for _ in range(60):
+        a = random_words(rng, rng.randrange(18, 30))
+        b = [*a]
+        for _ in range(rng.randrange(1, 4)):
+            k, how = rng.randrange(len(b)), rng.random()
+            if how < 0.25:
+                del b[k]
+            elif how < 0.5:
+                b.insert(k, random_words(rng, 1)[0])
+            else:
+                b[k] = random_words(rng, 1)[0]
+        found = passages.compare([w.encode() for w in a], [w.encode() for w in b], 12, 0.6)
+        assert bool(found) == (slow_similarity(a, b, 12) >= 0.6)
+
+
 # -- benchmark -----------------------------------------------------------------------------
 def slow_tiles(x, y, least):
     """Greedy tiling by comparing every pair of places."""

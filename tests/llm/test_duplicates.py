@@ -294,6 +294,19 @@ def test_compare_against_all_stretches():  # finding 5
         assert bool(found) == (slow_similarity(a, b, 12) >= 0.6)
 
 
+def test_every_place_of_a_passage_is_found(spark):  # finding 4
+    rng = random.Random(24)
+    passage, other = random_words(rng, 60), random_words(rng, 55)
+    texts = [random_words(rng, 20) + passage + random_words(rng, 300) + passage + random_words(rng, 20), random_words(rng, 5) + passage]
+    # the line stands alone first, and later within the shared passage
+    texts += [random_words(rng, 60) + other[:30] + random_words(rng, 200) + other + random_words(rng, 60), random_words(rng, 70) + other]
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, near_rows(texts)).repartition(2)).collect()}
+    assert got[0].passages == "20:80,380:440"
+    assert got[1].passages == "5:65"
+    assert got[2].class_id == got[3].class_id == 2
+    assert got[2].passages.endswith("290:345")
+
+
 # -- benchmark -----------------------------------------------------------------------------
 def slow_tiles(x, y, least):
     """Greedy tiling by comparing every pair of places."""

@@ -307,6 +307,19 @@ def test_every_place_of_a_passage_is_found(spark):  # finding 4
     assert got[2].passages.endswith("290:345")
 
 
+def test_a_frequent_line_hides_no_passage(spark):  # finding 3
+    rng = random.Random(23)
+    line = random_words(rng, 30)
+    texts = [random_words(rng, 40) + line + random_words(rng, 40) for _ in range(400)]
+    for k in range(50):
+        shared = random_words(rng, 20)
+        texts[k] = random_words(rng, 30) + line + shared + random_words(rng, 30)
+        texts[399 - k] = random_words(rng, 10) + line + shared + random_words(rng, 50)
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, near_rows(texts)).repartition(6)).collect()}
+    assert sum(k in got and 399 - k in got and got[k].class_id == got[399 - k].class_id == k for k in range(50)) >= 49
+    assert not set(got) & set(range(50, 350))
+
+
 # -- benchmark -----------------------------------------------------------------------------
 def slow_tiles(x, y, least):
     """Greedy tiling by comparing every pair of places."""

@@ -246,6 +246,22 @@ def slow_similarity(a, b, least):
     return best
 
 
+def test_all_rows_of_a_key_meet(spark):  # finding 1
+    rng = np.random.default_rng(27)
+    texts = rng.integers(-(1 << 62), 1 << 62, 40)
+    rows, want = [], set()
+    for key in range(30):
+        own = rng.choice(texts, rng.integers(1, 12), replace=False)
+        bucket = passages._bucket(own).tolist()
+        for t, at in zip(own.tolist(), bucket, strict=True):
+            blocks = [min(at, k) * passages.BUCKETS + max(at, k) for k in range(passages.BUCKETS)] if key % 3 == 0 else [-1]
+            rows += [(key, b, t, key) for b in blocks]
+        want |= {(a, b, key) for a in own.tolist() for b in own.tolist() if a < b}
+    got = passages.candidate_pairs(spark.createDataFrame(rows, passages.WINDOW)).collect()
+    assert len(got) == len(want)
+    assert {(r.a, r.b, r.loc_a) for r in got} == want
+
+
 def test_one_shared_hash_is_enough(spark):  # finding 2
     loc = lambda lo, c, hi: int(passages._packed(0, np.array([lo]), np.array([c]), np.array([hi]))[0])
     one = spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70))], "a long, loc_a long, b long, loc_b long")
@@ -320,6 +336,26 @@ def test_a_frequent_line_hides_no_passage(spark):  # finding 3
     assert not set(got) & set(range(50, 350))
 
 
+def test_copies_around_one_original_are_all_linked(spark):  # finding 1
+    rng = random.Random(21)
+    hub = random_words(rng, 60)
+    copies = []
+    for k in range(200):
+        copies.append([*hub])
+        copies[-1][25 + k % 10] = random_words(rng, 1)[0]
+    apart = [slow_similarity(copies[0], copies[d or 10], 46) >= 0.8 for d in range(10)]
+    assert slow_similarity(hub, copies[0], 46) >= 0.8
+    assert not all(apart)
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, near_rows([hub, *copies])).repartition(5)).collect()}
+    assert set(got) == set(range(201))
+    assert {r.class_id for r in got.values()} == {0}
+    assert got[0].n_links == 200
+    true = [1 + sum(apart[abs(k % 10 - m % 10)] for m in range(200) if m != k) for k in range(200)]
+    links = [got[k + 1].n_links for k in range(200)]
+    assert all(n <= t for n, t in zip(links, true, strict=True))
+    assert sum(links) >= 0.999 * sum(true)
+
+
 # -- benchmark -----------------------------------------------------------------------------
 def slow_tiles(x, y, least):
     """Greedy tiling by comparing every pair of places."""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plait.llm.common import materialize, runs, salted_left_join
+from plait.llm.common import free_name, materialize, runs, salted_left_join
 
 SEED = 42
 SHINGLE = 3
@@ -201,14 +201,14 @@ def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
     return salted_left_join(edges, least, "u", "v")
 
 
-def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``key``, fp (signed) and component_id, the smallest key whose fingerprint is reachable by links within ``radius``."""
-    prints = materialize(with_fingerprints(docs.select(key, text), text), "prints")
+def fingerprint_components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, more: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``more``, fp (signed), root (a fingerprint that names the component) and component_id, the smallest key whose fingerprint is reachable by links within ``radius``."""
+    prints = materialize(with_fingerprints(docs.select(key, *more, text), text), "prints")
     firsts = materialize(prints.groupBy("fp").agg(F.min(key).alias("first")), "firsts")
     roots = components(near_links(firsts.select("fp"), radius=radius))
     mapped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = mapped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = salted_left_join(mapped.select("fp", "root"), ids, "root", "fp").select("fp", "component_id")
+    by_print = salted_left_join(mapped.select("fp", "root"), ids, "root", "fp").select("fp", "root", "component_id")
     return salted_left_join(prints, by_print, "fp", key)
 
 
@@ -224,8 +224,11 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, the one with the smallest ``key``, columns unchanged.
 
-    Of rows that repeat that key with that fingerprint one stays; rows with a null key all stay.
+    Of rows of a component that repeat that key one stays; rows with a null key all stay.
     """
-    found = fingerprint_components(docs, key, text)
-    kept = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").select(*docs.columns).dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    mark = free_name(docs, "text_hash")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    found = fingerprint_components(marked, key, text, more=(mark,))
+    # components of different texts may have the same smallest key
+    kept = found.filter(F.col(key) == F.col("component_id")).groupBy(key, "root").agg(F.min(mark).alias(mark)).select(key, mark)
+    return marked.join(kept, [key, mark], "left_semi").dropDuplicates([key, mark]).select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))

@@ -106,6 +106,12 @@ def test_one_document_of_each_class_stays(spark):
     assert simhash.duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id_stay(spark):
+    text, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "wz")
+    df = docs(spark, [(5, text), (5, other), (5, text), (7, text), (8, other)])
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one_each(df).collect()) == [(5, text), (5, other)]
+
+
 # -- repeated windows --------------------------------------------------------------------
 def slow_removal(rows, depth=100):
     seen, out = set(), {}

@@ -255,13 +255,13 @@ def test_rows_of_a_key_meet_or_are_left(spark):  # finding 1
     rows, groups = [], {}
     for key in range(30):
         own = rng.choice(texts, rng.integers(1, 12), replace=False)
-        part = passages._bucket(own, 3).tolist() if key % 3 == 0 else [-1] * len(own)
+        part = (passages._bucket(own, 3) + 1).tolist() if key % 3 == 0 else [0] * len(own)
         rows += [(key, p, t, key) for t, p in zip(own.tolist(), part, strict=True)] * 2
         groups[key] = set(own.tolist())
     met = passages.meetings(spark.createDataFrame(rows, passages.WINDOW)).collect()
     left = defaultdict(set)
     for r in met:
-        if r.kind != 1:
+        if r.kind in (0, 2):
             left[r.key].add(r.a)
     assert all(left[k] == (own if k % 3 == 0 or len(own) > passages.FEW else set()) for k, own in groups.items())
     pairs = passages.met_pairs(spark.createDataFrame(met, passages.MEETING)).collect()
@@ -313,6 +313,25 @@ def test_crowds_are_linked_by_a_forest():
     assert partition(found) == partition(true)
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(34)
+    text = " ".join(random_words(rng, 300)).replace("e", "É\t\n").encode() + b"\x0b\x0cThe  END the end  "
+    words = passages.split_words(text)
+    for piece in (1 << 20, 100):
+        monkeypatch.setattr(passages, "PIECE_BYTES", piece)
+        found = passages.word_hashes(text)
+        assert len(found) == len(words)
+        assert len(set(zip(words, found.tolist(), strict=True))) == len(set(words)) == len(set(found.tolist()))
+    assert len(passages.word_hashes(b" \t")) == len(passages.word_hashes(b"")) == 0
+
+
+def test_tokens_beside():
+    pack = lambda *t: np.array([sum(v << 4 * k for k, v in enumerate(t))])
+    assert passages._run_on(pack(1, 2, 3, 4), pack(1, 2, 9, 4))[0]
+    assert passages._run_on(pack(1, 2, 3, 4), pack(9, 2, 3, 9))[0]
+    assert not passages._run_on(pack(1, 2, 3, 4), pack(1, 9, 3, 9))[0]
+
+
 def test_fewest_tokens_of_a_stretch():
     rng = np.random.default_rng(33)
     for n in (50, 80):
@@ -324,10 +343,13 @@ def test_fewest_tokens_of_a_stretch():
 
 def test_one_shared_hash_is_enough(spark):  # finding 2
     loc = lambda lo, c, hi: int(passages._packed(0, np.array([lo]), np.array([c]), np.array([hi]))[0])
-    one = spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70))], "a long, loc_a long, b long, loc_b long")
-    assert passages.widest_pairs(one).count() == 1
+    schema = "a long, loc_a long, b long, loc_b long, near boolean"
+    assert passages.widest_pairs(spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70), True)], schema)).count() == 1
+    assert passages.widest_pairs(spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70), False)], schema)).count() == 0
+    other = int(passages._packed(1, np.array([4]), np.array([8]), np.array([70]))[0])
+    assert passages.widest_pairs(spark.createDataFrame([(1, loc(0, 5, 60), 2, loc(3, 9, 70), False), (1, other, 2, other, False)], schema)).count() == 2
     # a window whose centre a wider one holds, but not the window itself, stays
-    two = spark.createDataFrame([(1, loc(0, 50, 99), 2, loc(0, 50, 99)), (1, loc(60, 80, 120), 2, loc(60, 80, 120)), (1, loc(10, 20, 80), 2, loc(10, 20, 80))], one.schema)
+    two = spark.createDataFrame([(1, loc(0, 50, 99), 2, loc(0, 50, 99), True), (1, loc(60, 80, 120), 2, loc(60, 80, 120), False), (1, loc(10, 20, 80), 2, loc(10, 20, 80), True)], schema)
     assert passages.widest_pairs(two).count() == 2
 
 

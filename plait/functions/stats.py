@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 
 from plait.spec import Op
 
+# fixed values: bytes of a page and the share where nothing is known
 PAGE_BYTES = 8192
 #: Distinct counts come from HyperLogLog sketches of 2^14 registers (about 0.9 % off).
 NDV_BITS = 14
 QUANTILES = (0.25, 0.5, 0.75)
-#: Selectivity where nothing is known.
 UNKNOWN = 1 / 3
 PREFIX = 3
 
@@ -49,13 +49,18 @@ def _ndv(column: str) -> Column:
     return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(column).isNotNull(), F.xxhash64(column)), F.lit(NDV_BITS)))
 
 
-def stats_frame(df: DataFrame) -> DataFrame:
-    """A row for each column: n_rows, n_nulls, ndv (sketched), low and high as text.  One pass, partial aggregates."""
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for c in df.columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), _ndv(c).alias(f"{c}__ndv"), F.min(c).cast("string").alias(f"{c}__low"), F.max(c).cast("string").alias(f"{c}__high")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), *(F.col(f"{c}__{k}").alias(n) for k, n in (("nulls", "n_nulls"), ("ndv", "ndv"), ("low", "low"), ("high", "high")))) for c in df.columns]
+_MADE = {
+    "n_nulls": lambda c: F.count_if(F.col(c).isNull()),
+    "ndv": lambda c: _ndv(c),
+    "low": lambda c: F.min(c).cast("string"),
+    "high": lambda c: F.max(c).cast("string"),
+}
+
+
+def stats_frame(df: DataFrame, wanted: tuple[str, ...] = ("n_nulls", "ndv", "low", "high")) -> DataFrame:
+    """A row for each column: n_rows and of n_nulls, ndv (sketched), low and high (as text) those ``wanted``.  One pass, partial aggregates."""
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *(_MADE[w](c).alias(f"{c}__{w}") for c in df.columns for w in wanted))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), *(F.col(f"{c}__{w}").alias(w) for w in wanted)) for c in df.columns]
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 

@@ -7,7 +7,8 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,25 +69,37 @@ def sort_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def is_sorted(df: DataFrame, key: str) -> bool:
-    """Whether the column never decreases in the order the rows are read; nulls are skipped.  One row a partition comes to the driver."""
+    """Whether the column never decreases; nulls are skipped.
+
+    Rows of files are in the order of the file names and of the rows in them, others in that of the partitions.
+    Each stretch of a file that a task reads gives one row, and these are compared in order; one row comes to the driver.
+    """
     kind = df.schema[key].dataType.simpleString()
+    try:
+        placed = df.select(key, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files
+        placed = df.select(key, F.format_string("%010d", F.spark_partition_id()).alias("file"), F.monotonically_increasing_id().alias("row"))
 
     def ends(it):
-        first = last = None
-        fine = True
+        held: dict[str, list] = {}  # first row, first, last, fine of each file of the task
         for b in it:
-            v = b.column(0).drop_null()
-            if not len(v):
-                continue
-            if len(v) > 1 and not pc.all(pc.less_equal(v[:-1], v[1:])).as_py():
-                fine = False
-            head = v[0]
-            if last is not None and pc.less(head, last).as_py():
-                fine = False
-            first, last = head if first is None else first, v[len(v) - 1]
-        if first is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([first.as_py()], first.type), pa.array([last.as_py()], last.type), pa.array([fine])], names=["first", "last", "fine"])
-
-    parts = df.select(key).mapInArrow(ends, f"first {kind}, last {kind}, fine boolean").withColumn("p", F.spark_partition_id()).collect()
-    parts.sort(key=lambda r: r["p"])
-    return all(r["fine"] for r in parts) and all(a["last"] <= b["first"] for a, b in zip(parts, parts[1:], strict=False))
+            file, row = b.column(1), b.column(2)
+            for name in pc.unique(file).to_pylist():
+                here = pc.and_(pc.equal(file, name), pc.is_valid(b.column(0)))
+                v = b.column(0).filter(here)
+                if not len(v):
+                    continue
+                fine = len(v) < 2 or pc.all(pc.less_equal(v[:-1], v[1:])).as_py()
+                if name in held:
+                    last = held[name]
+                    last[3] = last[3] and fine and not pc.less(v[0], last[2]).as_py()
+                    last[2] = v[len(v) - 1]
+                else:
+                    held[name] = [row.filter(here)[0].as_py(), v[0], v[len(v) - 1], fine]
+        for name, (start, first, last, fine) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([start], pa.int64()), pa.array([first.as_py()], first.type), pa.array([last.as_py()], last.type), pa.array([fine])], names=["file", "start", "first", "last", "fine"])
+
+    parts = placed.mapInArrow(ends, f"file string, start long, first {kind}, last {kind}, fine boolean")
+    before = F.lag("last").over(Window.orderBy("file", "start"))
+    found = parts.select("fine", (before > F.col("first")).alias("back")).agg(F.min("fine").alias("fine"), F.max(F.coalesce("back", F.lit(False))).alias("back")).first()
+    return found["fine"] is not False and not found["back"]

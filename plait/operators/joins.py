@@ -12,7 +12,7 @@ _LEFT, _RIGHT = "_plait_l", "_plait_r"
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate; an upper bound for scans and what filters them."""
+    """Catalyst's estimate; for a scan the compressed files, which may be several times as much when built in memory."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -51,10 +51,31 @@ def join_tables(
     if how is JoinType.ASOF:
         return asof_join(left, right, left_col, right_col, op)
     check(strategy, how, op)
-    if op is not Op.EQ and (strategy is Strategy.AUTO or size_in_bytes(right) > BROADCAST_BYTES):
+    if op is not Op.EQ and (strategy is Strategy.AUTO or how in (JoinType.RIGHT, JoinType.FULL) or size_in_bytes(right) > BROADCAST_BYTES):
         return _theta(left, right, how, left_col, op, right_col)
-    left, right = apply_hint(strategy, left, right)
-    return left.join(right, op.apply(left[left_col], right[right_col]), how.value)
+    if strategy is Strategy.INDEX_NL:
+        right = _sought(left, left_col, op, right, right_col, how)
+    left, right = apply_hint(strategy, left, right, how, op)
+    condition = op.apply(left[left_col], right[right_col])
+    if strategy is Strategy.BLOCK_NL and op is Op.EQ and how is not JoinType.INNER:
+        # an equality would be hashed; as two inequalities it is tested block by block
+        condition = (left[left_col] <= right[right_col]) & (left[left_col] >= right[right_col])
+    return left.join(right, condition, how.value)
+
+
+def _sought(left: DataFrame, a: str, op: Op, right: DataFrame, b: str, how: JoinType) -> DataFrame:
+    """The right rows within the range of keys that the left side seeks; on a sorted layout the scan skips the other files and row groups."""
+    if how in (JoinType.RIGHT, JoinType.FULL) or op is Op.NE:
+        return right
+    ends = left.agg(F.min(a).alias("low"), F.max(a).alias("high")).first()
+    if ends["low"] is None:
+        return right
+    out = right
+    if op in (Op.EQ, Op.LE, Op.LT):
+        out = out.filter(F.col(b) >= F.lit(ends["low"]))
+    if op in (Op.EQ, Op.GE, Op.GT):
+        out = out.filter(F.col(b) <= F.lit(ends["high"]))
+    return out
 
 
 def _theta(left: DataFrame, right: DataFrame, how: JoinType, a: str, op: Op, b: str) -> DataFrame:
@@ -94,12 +115,13 @@ def _partnered(df: DataFrame, a: str, op: Op, other: DataFrame, b: str, has: boo
     return df.filter(known if has else ~known)
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, op: Op | str = Op.GE, by: list[tuple[str, str]] | None = None, buckets: int = 512) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, op: Op | str = Op.GE, by: list[tuple[str, str]] | None = None, buckets: int = 128) -> DataFrame:
     """Each left row with the nearest right row such that ``left_on op right_on``; unmatched rows get nulls.
 
-    Of right rows with an equal key any one is taken, the largest by its columns' order.  Time is cut into ``buckets`` ranges:
-    within one, rows of both sides are put in order and the last right row is carried on; what reaches into later
-    ranges is one row a range (and ``by`` group), so neither a hot group nor its absence makes a single task.
+    Of right rows with an equal key any one is taken, the largest by its columns' order.  Keys are cut into ``buckets`` ranges
+    at approximate quantiles of the right side: within one, rows of both sides are put in order of the typed key and the last
+    right row is carried on; what reaches into later ranges is one row a range (and ``by`` group), so neither a hot group
+    nor its absence makes a single task.
     """
     op = Op.parse(op) if isinstance(op, str) else op
     if not op.ordered:
@@ -107,24 +129,25 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, op
     by = by or []
     down = op in (Op.GE, Op.GT)  # the nearest one below
     kind = left.schema[left_on].dataType.simpleString()
+    # numbers choose the range only: they never go down where the key goes up
     number = (lambda c: F.unix_micros(c.cast("timestamp")).cast("double")) if kind in ("date", "timestamp", "timestamp_ntz") else (lambda c: c.cast("double"))
-    sign = 1 if down else -1
     keys = [f"_by{i}" for i in range(len(by))]
     packed = F.struct(*right.columns)
-    rights = right.filter(F.col(right_on).isNotNull()).select(*(F.col(b).alias(k) for k, (_, b) in zip(keys, by, strict=True)), (sign * number(F.col(right_on))).alias("_t"), packed.alias("_r"))
-    rights = rights.groupBy(*keys, "_t").agg(F.max("_r").alias("_r"))
-    lefts = left.select(*(F.col(a).alias(k) for k, (a, _) in zip(keys, by, strict=True)), (sign * number(F.col(left_on))).alias("_t"), F.struct(*left.columns).alias("_l"))
-    ends = rights.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
-    lo, width = ends["lo"] or 0.0, max(((ends["hi"] or 0.0) - (ends["lo"] or 0.0)) / buckets, 1e-9)
-    bucket = F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((F.col("_t") - lo) / width))).cast("int").alias("_b")
+    rights = right.filter(F.col(right_on).isNotNull()).select(*(F.col(b).alias(k) for k, (_, b) in zip(keys, by, strict=True)), F.col(right_on).alias("_k"), packed.alias("_r"))
+    rights = rights.groupBy(*keys, "_k").agg(F.max("_r").alias("_r"))
+    lefts = left.select(*(F.col(a).alias(k) for k, (a, _) in zip(keys, by, strict=True)), F.col(left_on).alias("_k"), F.struct(*left.columns).alias("_l"))
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = sorted(set(right.agg(F.percentile_approx(number(F.col(right_on)), shares, 10 * buckets)).first()[0] or [])) if shares else []
+    bucket = (_range_of(number(F.col("_k")), cuts, 0) * (1 if down else -1)).cast("int").alias("_b")
     # an equal key is before the left row for >= and <=, after it for > and <
     first = 0 if op in (Op.GE, Op.LE) else 2
     none_l, none_r = F.lit(None).cast(lefts.schema["_l"].dataType), F.lit(None).cast(rights.schema["_r"].dataType)
-    both = rights.select(*keys, "_t", bucket, F.lit(first).alias("_o"), none_l.alias("_l"), "_r").unionByName(lefts.select(*keys, "_t", bucket, F.lit(1).alias("_o"), "_l", none_r.alias("_r")))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("_r", F.when(F.col("_t").isNotNull(), F.last("_r", True).over(inside))).filter("_o = 1")
+    both = rights.select(*keys, "_k", bucket, F.lit(first).alias("_o"), none_l.alias("_l"), "_r").unionByName(lefts.select(*keys, "_k", bucket, F.lit(1).alias("_o"), "_l", none_r.alias("_r")))
+    onwards = F.col("_k").asc() if down else F.col("_k").desc()
+    inside = Window.partitionBy(*keys, "_b").orderBy(onwards, "_o").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_r", F.when(F.col("_k").isNotNull(), F.last("_r", True).over(inside))).filter("_o = 1")
     # the last right row of the latest range before
-    lasts = rights.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.max_by("_r", "_t").alias("_last"))
+    lasts = rights.withColumn("_b", bucket).groupBy(*keys, "_b").agg((F.max_by if down else F.min_by)("_r", "_k").alias("_last"))
     known = lasts.select(*keys, "_b", "_last").unionByName(lefts.select(*keys, bucket).distinct().select(*keys, "_b", none_r.alias("_last")))
     known = known.groupBy(*keys, "_b").agg(F.first("_last", True).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,8 +156,16 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, op
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
     joined = carried.join(reach, match, "left")
-    nearest = F.coalesce("_r", F.when(F.col("_t").isNotNull(), F.col("_before")))
+    nearest = F.coalesce("_r", F.when(F.col("_k").isNotNull(), F.col("_before")))
     if keys:  # a null group matches nothing
         nearest = F.when(~F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNotNull(), nearest)
     out = joined.select("_l", nearest.alias("_r"))
     return out.select("_l.*", *(F.col("_r")[c].alias(c) for c in right.columns))
+
+
+def _range_of(value: Column, cuts: list[float], base: int) -> Column:
+    """The number of ``cuts`` at most ``value``, plus ``base``, by halving."""
+    if not cuts:
+        return F.lit(base)
+    mid = len(cuts) // 2
+    return F.when(value < cuts[mid], _range_of(value, cuts[:mid], base)).otherwise(_range_of(value, cuts[mid + 1 :], base + mid + 1))

@@ -18,7 +18,7 @@ class Strategy(Enum):
     GRACE = "grace"
     BLOCK_NL = "block_nl"
     MERGE = "merge"
-    #: the inner side's matching rows only; Spark's nearest is a broadcast of the outer side
+    #: the right side read within the left side's range of keys only, then hashed
     INDEX_NL = "index_nl"
 
 
@@ -47,14 +47,17 @@ def applicable(how: JoinType, op: Op) -> list[Strategy]:
     return out
 
 
-def apply_hint(strategy: Strategy, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The right side hinted.  Where it is too large to broadcast, an equal join is partitioned instead."""
+def apply_hint(strategy: Strategy, left: DataFrame, right: DataFrame, how: JoinType = JoinType.INNER, op: Op = Op.EQ) -> tuple[DataFrame, DataFrame]:
+    """The right side hinted.  Where it is too large to broadcast, or kept whole, an equal join is partitioned instead."""
     if strategy not in HINTS:
         return left, right
     from plait.operators.joins import size_in_bytes
 
     hint = HINTS[strategy]
-    if hint == "broadcast" and size_in_bytes(right) > BROADCAST_BYTES:
+    if strategy is Strategy.BLOCK_NL:
+        # every block of the left side with every block of the right one; what isn't inner needs one of them whole
+        return left, right.hint("shuffle_replicate_nl" if how is JoinType.INNER and op is Op.EQ else "broadcast")
+    if hint == "broadcast" and (how in (JoinType.RIGHT, JoinType.FULL) or size_in_bytes(right) > BROADCAST_BYTES):
         hint = "shuffle_hash"
     return left, right.hint(hint)
 

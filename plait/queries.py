@@ -86,9 +86,9 @@ for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
     for _op in Op:
         _text = f"supplier {_how} nation ON s_suppkey {_op.value} n_nationkey"
         _add(f"matrix_{_how.lower()}_{_op.name.lower()}", _chain(_text), _sql(_text))
-for _how in ("SEMI", "ANTI"):
-    for _op in (Op.NE, Op.LT, Op.GE):
-        _text = f"nation {_how} supplier ON n_nationkey {_op.value} s_suppkey"
+for _how in ("SEMI", "ANTI"):  # each keeps some rows and drops some
+    for _op, _pair in ((Op.LT, "nation {} region ON n_nationkey {} r_regionkey"), (Op.LE, "nation {} region ON n_nationkey {} r_regionkey"), (Op.GT, "region {} supplier ON r_regionkey {} s_suppkey")):
+        _text = _pair.format(_how, _op.value)
         _add(f"matrix_{_how.lower()}_{_op.name.lower()}", _chain(_text), _sql(_text))
 
 # every strategy gives the same rows
@@ -96,6 +96,9 @@ for _s in ("hash", "grace", "merge", "index_nl", "block_nl"):
     for _how in ("INNER", "LEFT", "RIGHT", "FULL"):
         _text = f"customer {_how} supplier ON c_custkey = s_suppkey"
         _add(f"strategy_{_s}_{_how.lower()}", _chain(_text, [_s]), _sql(_text))
+    for _how in ("INNER", "LEFT", "RIGHT", "FULL"):  # repeated keys on both sides
+        _text = f"supplier {_how} nation ON s_nationkey = n_regionkey"
+        _add(f"strategy_{_s}_{_how.lower()}_repeated", _chain(_text, [_s]), _sql(_text))
 for _s in ("merge", "index_nl", "block_nl"):
     _text = "supplier INNER nation ON s_suppkey <= n_nationkey"
     _add(f"strategy_{_s}_le", _chain(_text, [_s]), _sql(_text))
@@ -147,6 +150,20 @@ ASOF LEFT JOIN (SELECT o_custkey AS c, o_orderdate AS next_date, count(*) AS n_n
 )
 
 
+def _asof_large(spark: SparkSession, d: str) -> DataFrame:
+    """Keys beyond the integers that a double tells apart, and one far outlier."""
+    keys = _table(spark, d, "orders").select("o_orderkey", (F.lit(1 << 60) + F.col("o_orderkey")).alias("k"))
+    right = _table(spark, d, "orders").filter("o_orderkey % 3 = 0").select((F.lit(1 << 60) + F.col("o_orderkey")).alias("r"))
+    return asof_join(keys, right.unionByName(spark.createDataFrame([(1,)], "r long")), "k", "r", Op.GE)
+
+
+_add(
+    "asof_large_keys",
+    _asof_large,
+    """SELECT o_orderkey, k, r FROM (SELECT o_orderkey, 1152921504606846976 + o_orderkey AS k FROM orders)
+ASOF LEFT JOIN (SELECT 1152921504606846976 + o_orderkey AS r FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 1) ON k >= r""",
+)
+
 # rewrites keep the result and the order of the columns
 def _rewritten(text: str, rule) -> Query:
     specs = parse(text, strict=True)
@@ -199,13 +216,13 @@ _add(
 
 def _pipe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Supplier written as pipe text and read back with a declared schema."""
-    df = _table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    df = _table(spark, d, "supplier").withColumn("s_acctbal", F.col("s_acctbal").cast("decimal(15,2)"))
     path = scratch_path(spark, "pipe")
     write_pipe(df, path)
-    return read_pipe(spark, path, TableDef("supplier", (ColumnDef("s_suppkey", "BIGINT"), ColumnDef("s_name", "CHAR", length=25), ColumnDef("s_nationkey", "INT"))))
+    return read_pipe(spark, path, TableDef("supplier", (ColumnDef("s_suppkey", "BIGINT"), ColumnDef("s_name", "CHAR", length=25), ColumnDef("s_nationkey", "INT"), ColumnDef("s_acctbal", "DECIMAL", precision=15, scale=2))))
 
 
-_add("pipe_round_trip", _pipe_round_trip, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+_add("pipe_round_trip", _pipe_round_trip, "SELECT s_suppkey, s_name, s_nationkey, CAST(s_acctbal AS DECIMAL(15,2)) AS s_acctbal FROM supplier")
 
 
 def _index_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +238,7 @@ _add("located_row", lambda s, d: access.with_locator(_table(s, d, "nation")).fil
 # statistics
 def _exact_stats(table: str, columns: list[str]) -> tuple[Query, str]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return stats.stats_frame(_table(spark, d, table).select(*columns)).drop("ndv")
+        return stats.stats_frame(_table(spark, d, table).select(*columns), ("n_nulls", "low", "high"))
 
     one = "SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high FROM " + table
     return run, " UNION ALL ".join(one.format(c=c) for c in columns)
@@ -229,8 +246,44 @@ def _exact_stats(table: str, columns: list[str]) -> tuple[Query, str]:
 
 _add("stats_orders", *_exact_stats("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
 _add("stats_customer", *_exact_stats("customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]))
-_add("stats_ndv", lambda s, d: stats.stats_frame(_table(s, d, "lineitem")).select("column_name", "ndv"))
+_add("stats_ndv", lambda s, d: stats.stats_frame(_table(s, d, "lineitem"), ("ndv",)).select("column_name", "ndv"))
 _add("stats_quantiles", lambda s, d: stats.quantile_frame(_table(s, d, "orders"), "o_totalprice"))
+
+
+def _ndv_close(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sketched counts of distinct values are within 3 % of the exact ones."""
+    orders = _table(spark, d, "orders")
+    exact = orders.agg(*(F.count_distinct(c).alias(c) for c in orders.columns))
+    exact = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in orders.columns))).alias("s")).select("s.*")
+    return stats.stats_frame(orders, ("ndv",)).join(exact, "column_name").select("column_name", "n", (F.abs(F.col("ndv") - F.col("n")) <= 0.03 * F.col("n")).alias("close"))
+
+
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_add("stats_ndv_close", _ndv_close, " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n, true AS close FROM orders" for c in _ORDERS))
+
+
+def _quantiles_close(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the rank of each estimated quantile is within 1 % of its share."""
+    orders = _table(spark, d, "orders")
+    found = stats.quantile_frame(orders, "o_totalprice")
+    ranked = orders.select("o_totalprice").join(F.broadcast(found), F.col("o_totalprice") <= F.col("value"))  # three rows
+    rank = ranked.groupBy("quantile").agg(F.count(F.lit(1)).alias("below"))
+    return rank.crossJoin(orders.agg(F.count("o_totalprice").alias("n_rows"))).select("quantile", "n_rows", (F.abs(F.col("below") / F.col("n_rows") - F.col("quantile")) <= 0.01).alias("close"))
+
+
+_add("stats_quantiles_close", _quantiles_close, "SELECT CAST(q AS DOUBLE) AS quantile, count(o_totalprice) AS n_rows, true AS close FROM orders, (VALUES (0.25), (0.5), (0.75)) t(q) GROUP BY q")
+
+
+def _sorted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Sortedness of orders laid out by key in several files of unequal size."""
+    path = scratch_path(spark, "files")
+    orders = _table(spark, d, "orders").withColumn("band", F.when(F.col("o_orderkey") < 40, 0).when(F.col("o_orderkey") < 4000, 1).otherwise(2))
+    orders.repartitionByRange(3, "band").sortWithinPartitions("o_orderkey").drop("band").write.parquet(path)
+    laid = spark.read.parquet(path)
+    return spark.createDataFrame([(c, access.is_sorted(laid, c)) for c in ("o_orderkey", "o_custkey")], "column_name string, was_sorted boolean")
+
+
+_add("stats_was_sorted_files", _sorted_files, "SELECT 'o_orderkey' AS column_name, true AS was_sorted UNION ALL SELECT 'o_custkey', false")
 _add("stats_prefixes", lambda s, d: stats.prefix_histogram(_table(s, d, "part"), "p_name"), "SELECT substr(p_name, 1, 3) AS prefix, count(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY 1")
 _add(
     "stats_was_sorted",

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, which all executors share, or below a temporary folder where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plait-")
+    """A new path below ``spark.checkpoint.dir``, which all executors share; only a local session may do without and gets a temporary folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="plait-")
     return f"{shared}/{label}-{uuid.uuid4().hex}"

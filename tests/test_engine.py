@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 import yaml
 
-from plait.catalog import Catalog, ColumnDef, TableDef, load_schemas
+from plait.catalog import Catalog, ColumnDef, TableDef
 from plait.cli import answer
 from plait.functions import stats
 from plait.operators import access
@@ -16,6 +16,7 @@ from plait.plans.tree import alternatives, associate, commute, compile_tree, lef
 from plait.queries import QUERIES, SQL
 from plait.sources.pipe import list_tables, read_pipe, write_pipe
 from plait.spec import Op
+from plait.tpch import tpch_schemas
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,7 +111,7 @@ def test_declared_pipe_files(spark, tmp_path):
 
 
 def test_pipe_round_trip(spark, tmp_path):
-    schemas = load_schemas("plait/schemas")
+    schemas = tpch_schemas()
     df = spark.createDataFrame([(1, "A|B", 0, None), (2, None, 1, "x")], schemas["nation"].struct())
     write_pipe(df, str(tmp_path / "n"), single_file=True)
     lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "n")).collect())
@@ -136,6 +137,13 @@ def test_sortedness(spark):
     df = spark.createDataFrame([(None, 3), (1, 2), (1, None), (4, 9), (7, 1)], "a int, b int").coalesce(1)
     assert access.is_sorted(df, "a")
     assert not access.is_sorted(df, "b")
+    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/unequal"
+    spark.range(10).coalesce(1).write.mode("overwrite").parquet(path)
+    spark.range(10, 200_000).coalesce(1).write.mode("append").parquet(path)
+    names = sorted((r.file, r.low) for r in access.index_meta(spark, path, "id").collect())
+    assert access.is_sorted(spark.read.parquet(path), "id") == ([low for _, low in names] == [0, 10])
+    spark.range(5, 3, -1).coalesce(1).write.mode("append").parquet(path)
+    assert not access.is_sorted(spark.read.parquet(path), "id")
     many = spark.range(1000).repartitionByRange(5, "id").sortWithinPartitions("id")
     assert access.is_sorted(many, "id")
     assert access.is_sorted(df.filter("a > 100"), "a")

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from plait.operators.joins import asof_join, join_tables
 from plait.operators.strategies import Strategy, applicable, check, physical_join
@@ -88,6 +89,40 @@ def test_hints_are_followed(spark, strategy, node):
     assert physical_join(join_tables(left, right, "INNER", "k", "=", "k", strategy)) == [node]
 
 
+@pytest.mark.parametrize(
+    ("strategy", "nodes"),
+    [
+        ("hash", {"LEFT": "BroadcastHashJoin", "RIGHT": "ShuffledHashJoin", "FULL": "ShuffledHashJoin"}),
+        ("grace", dict.fromkeys(("LEFT", "RIGHT", "FULL"), "ShuffledHashJoin")),
+        ("merge", dict.fromkeys(("LEFT", "RIGHT", "FULL"), "SortMergeJoin")),
+        ("index_nl", {"LEFT": "BroadcastHashJoin", "RIGHT": "ShuffledHashJoin", "FULL": "ShuffledHashJoin"}),
+        ("block_nl", dict.fromkeys(("LEFT", "RIGHT", "FULL"), "BroadcastNestedLoopJoin")),
+    ],
+)
+def test_outer_joins_run_as_asked(spark, strategy, nodes):
+    left = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'b'), (2, 'c'), (NULL, 'd'), (9, 'e') AS t(k, l)")
+    right = spark.sql("SELECT * FROM VALUES (1, 'x'), (1, 'y'), (NULL, 'z'), (5, 'w') AS t(k, r)")
+    for how, node in nodes.items():
+        joined = join_tables(left, right, how, "k", "=", "k", strategy)
+        assert physical_join(joined) == [node]
+        want = left.join(right.withColumnRenamed("k", "right_k"), left["k"] == F.col("right_k"), how.lower())
+        assert sorted(map(str, joined.collect())) == sorted(map(str, want.collect()))
+
+
+def test_index_join_reads_a_range(spark, tmp_path):
+    spark.range(10_000).withColumnRenamed("id", "r").write.parquet(str(tmp_path / "r"))
+    joined = join_tables(spark.range(40, 50), spark.read.parquet(str(tmp_path / "r")), "INNER", "id", "=", "r", "index_nl")
+    assert "GreaterThanOrEqual(r,40), LessThanOrEqual(r,49)" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 10
+
+
+def test_asof_tells_large_keys_apart(spark):
+    left = spark.createDataFrame([((1 << 60) + 5,), (None,)], "k long")
+    right = spark.createDataFrame([((1 << 60) + 3,), ((1 << 60) + 9,), (-(1 << 62),)], "r long")
+    for op, r in ((">=", (1 << 60) + 3), ("<=", (1 << 60) + 9)):
+        assert {(x.k, x.r) for x in asof_join(left, right, "k", "r", op).collect()} == {((1 << 60) + 5, r), (None, None)}
+
+
 def test_strategies_that_do_not_apply():
     with pytest.raises(ValueError):
         check(Strategy.HASH, JoinType.INNER, Op.LT)

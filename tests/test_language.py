@@ -3,6 +3,7 @@ import pytest
 from plait.catalog import Catalog, ColumnDef, TableDef, load_schemas
 from plait.parser import parse
 from plait.spec import JoinSpec, JoinType, Op
+from plait.tpch import tpch_schema, tpch_schemas
 from plait.validator import resolve, validate
 
 
@@ -80,15 +81,15 @@ def test_identical_types(catalog):
     assert validate(specs, catalog, identical_types=True)
 
 
-def test_declared_schemas():
-    from pathlib import Path
-
-    import plait
-
-    found = load_schemas(Path(plait.__file__).parent / "schemas")
+def test_declared_schemas(tmp_path):
+    found = tpch_schemas()
     assert sorted(found) == ["customer", "lineitem", "nation", "orders", "part", "partsupp", "region", "supplier"]
     assert found["orders"].type_of("o_comment") == "STRING"
-    assert [c.name for c in found["customer"].columns if c.index] == ["c_custkey", "c_name"]
+    assert not [p for t in found.values() for c in t.columns for p in c.problems()]
+    assert [c.name for c in tpch_schema("customer", ("c_name",)).columns if c.index] == ["c_name"]
+    assert found["part"].columns[7] == ColumnDef("p_retailprice", "DECIMAL", precision=15, scale=2)
+    (tmp_path / "towns.yml").write_text("table: towns\ncolumns:\n- {name: t_id, type: INT, index: true}\n- {name: t_name, type: STRING}\n")
+    assert [c.name for c in load_schemas(tmp_path)["towns"].columns if c.index] == ["t_id"]
 
 
 @pytest.mark.parametrize("column", [{"type": "DECIMAL", "precision": 5}, {"type": "INT", "length": 4}, {"type": "CHAR"}, {"type": "BOOL"}, {"type": "STRING", "scale": 2}])

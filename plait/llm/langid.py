@@ -25,6 +25,8 @@ ORDERS = (1, 2, 3)
 #: Bound of the sample to learn from, in expectation, and the tasks that count it.
 TRAIN_DOCS = 20_000
 TRAIN_TASKS = 12
+#: Rows of each language to learn from, in expectation, however rare it is.
+LEAST_DOCS = 200
 #: Characters scored at a time.
 BATCH_CHARS = 1 << 20
 UNKNOWN = "und"
@@ -32,21 +34,45 @@ _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(2654435761)
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Bucket of every n-gram of the lower-cased text, one space around it."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    """The characters of the lower-cased text, one space around it."""
+    return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _buckets(codes: np.ndarray, stop: int) -> np.ndarray:
+    """Bucket of every n-gram that begins before ``stop``."""
     found, key = [], np.zeros(len(codes), np.uint32)
     for n in range(1, ORDERS[-1] + 1):
-        key = key[: len(codes) - n + 1] * np.uint32(0x01000193) + codes[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
+        key = key[: max(0, len(codes) - n + 1)] * np.uint32(0x01000193) + codes[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
         if n in ORDERS:
-            found.append((key * _MIX) >> np.uint32(16))
+            found.append((key[:stop] * _MIX) >> np.uint32(16))
     return np.concatenate(found)
 
 
-def sampled(rows: DataFrame, n: int, bound: int, key: str = "doc_id") -> DataFrame:
-    """About ``bound`` of the ``n`` rows, by a hash of ``key``; all if there are no more."""
-    share = int(min(1.0, bound / max(n, 1)) * 1_000_000)
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < share) if share < 1_000_000 else rows
+def ngram_buckets(text: str) -> np.ndarray:
+    """Bucket of every n-gram of the lower-cased text, one space around it."""
+    codes = _codes(text)
+    return _buckets(codes, len(codes))
+
+
+def bucket_counts(text: str, piece: int = BATCH_CHARS) -> np.ndarray:
+    """How often each bucket occurs, counted a piece at a time; n-grams across the cuts count like any other."""
+    codes, total = _codes(text), np.zeros(BUCKETS, np.int64)
+    for k in range(0, len(codes), piece):
+        total += np.bincount(_buckets(codes[k : k + piece + ORDERS[-1] - 1], piece), minlength=BUCKETS)
+    return total
+
+
+def sampled(rows: DataFrame, n: int, bound: int, *of: str, by: str | None = None, least: int = LEAST_DOCS) -> DataFrame:
+    """About ``bound`` of the ``n`` rows, by a hash of the columns ``of``; all if there are no more.
+
+    Of each value of ``by`` about ``least`` rows are taken at least, so that rare ones are learned, too.
+    """
+    share = F.lit(min(1.0, bound / max(n, 1)))
+    if by is not None:
+        rows = rows.join(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
+        share = F.greatest(share, F.lit(float(least)) / F.col("_n"))
+    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *of), F.lit(1_000_000)) < F.ceil(share * 1_000_000))
 
 
 class NaiveBayes:
@@ -91,10 +117,8 @@ class NaiveBayes:
         return langs, scores
 
     def _long(self, text: str) -> tuple[str, float]:
-        """A very long text a piece at a time; pieces overlap by nothing but their blanks."""
-        total = self.prior.copy()
-        for k in range(0, len(text), BATCH_CHARS):
-            total += np.bincount(ngram_buckets(text[k : k + BATCH_CHARS]), minlength=BUCKETS) @ self.log_p
+        """A very long text, whose n-grams are counted a piece at a time."""
+        total = self.prior + bucket_counts(text) @ self.log_p.astype(np.float64)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total.max()).sum())
 
@@ -102,7 +126,11 @@ class NaiveBayes:
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = TRAIN_DOCS) -> NaiveBayes:
     """Learn from ``rows`` with a text and a language; every row offered may be used."""
     rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    sample = sampled(rows, rows.count(), bound, "k").select("t", "l").repartition(TRAIN_TASKS)
+    n = rows.count()
+    sample = sampled(rows, n, bound, "k", "t", "l", by="l")
+    if n > bound:  # a row that is repeated without end is learned once
+        sample = sample.distinct()
+    sample = sample.select("t", "l").repartition(TRAIN_TASKS)
 
     def count(it):
         total: dict[str, np.ndarray] = {}
@@ -112,8 +140,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 if la not in total:
                     total[la], docs[la] = np.zeros(BUCKETS, np.int64), 0
                 docs[la] += 1
-                for k in range(0, len(t), BATCH_CHARS):
-                    total[la] += np.bincount(ngram_buckets(t[k : k + BATCH_CHARS]), minlength=BUCKETS)
+                total[la] += bucket_counts(t)
         yield from _rows([(la, docs[la], total[la]) for la in total])
 
     def add(it):

@@ -78,19 +78,21 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def add_contexts(total: np.ndarray, index: np.ndarray, text: str | None) -> None:
+def add_contexts(total: np.ndarray, index: np.ndarray, text: str | None, piece: int = PIECE_WORDS) -> None:
     """Add to each token's row the index vectors of the tokens near it."""
     all_own, all_shape, _ = token_buckets(text)
-    for k in range(0, len(all_own), PIECE_WORDS):
-        own, shape = all_own[k : k + PIECE_WORDS], all_shape[k : k + PIECE_WORDS]
+    for k in range(0, len(all_own), piece):
+        first, stop = max(0, k - NEAR), min(len(all_own), k + piece + NEAR)  # what the neighbours of the piece's words need
+        own, shape = all_own[first:stop], all_shape[first:stop]
         context = index[shape].copy()
         for d in range(1, NEAR + 1):
             for a, b in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
                 context[a] += index[own[b]] + index[shape[b]]
-        np.add.at(total, own, context)
-        np.add.at(total, shape, context)
-        again = np.flatnonzero(own[1:] == own[:-1]) + 1
-        total[REPEAT] += context[again].sum(0)
+        inside = slice(k - first, min(k + piece, len(all_own)) - first)
+        np.add.at(total, own[inside], context[inside])
+        np.add.at(total, shape[inside], context[inside])
+        again = np.concatenate([[False], own[1:] == own[:-1]])[inside]
+        total[REPEAT] += context[inside][again].sum(0)
 
 
 def pool(vectors: np.ndarray, text: str | None) -> np.ndarray:
@@ -216,8 +218,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS)
     """doc_id, held_out, score and predicted of ``docs``, learned from the labelled rows that are not held out."""
     known = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = known.count()
-    few = sampled(known, n, bound)
-    texts = sampled(docs.select("doc_id", "text").filter(~held_out()), n, bound)  # the same draw, before the join
+    few = sampled(known, n, bound, "doc_id")
+    texts = sampled(docs.select("doc_id", "text").filter(~held_out()), n, bound, "doc_id")  # the same draw, before the join
+    if n > bound:  # a row that is repeated without end is learned once
+        few, texts = few.distinct(), texts.distinct()
     model = train(texts.join(few, "doc_id"))
     slim = docs.select("doc_id", held_out().alias("held_out"), "text")
     return score(slim, model).drop("text").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

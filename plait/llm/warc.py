@@ -76,15 +76,22 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> str:
     return "\r\n".join(lines) + "\r\n\r\n" + block.decode() + "\r\n\r\n"
 
 
-def records(uid: str, page_id: int | None, url: str | None, payload: str, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
-    """The records of one page: a response with its continuations, or a revisit if ``refers_to`` is given."""
-    own = f"<urn:plait:page:{'' if page_id is None else page_id}:{uid}>"
+def _urn(page_id: int | None, own: str) -> str:
+    return f"<urn:plait:page:{'' if page_id is None else page_id}:{own}>"
+
+
+def records(uid: str | None, page_id: int | None, url: str | None, payload: str, digest: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[str]:
+    """The records of one page: a response with its continuations, or a revisit if ``refers_to`` is given.
+
+    Their id is that of the page and ``uid``; without one it is the payload's digest, which revisits refer to.
+    """
+    own = _urn(page_id, uid or digest)
     common = [("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if url is not None:
         common.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload.encode())}\r\n\r\n"
-        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:plait:page:{refers_to}>")]
+        extra = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(refers_to, digest))]
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, *extra, ("Content-Type", "application/http;msgtype=response")], head.encode())]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     first, *rest = _cuts(block, segment_bytes)
@@ -98,13 +105,15 @@ def records(uid: str, page_id: int | None, url: str | None, payload: str, digest
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """Add digest, n_bytes and refers_to (null: the row is stored itself)."""
+    """Add digest, n_bytes, refers_to (null: the row is stored itself) and is_target (revisits refer to this row, and no other row has its key and payload)."""
     known = pages.withColumn(payload, F.coalesce(F.col(payload), F.lit("")))
     known = known.withColumn("digest", F.sha1(F.col(payload).cast("binary"))).withColumn("n_bytes", F.octet_length(payload).cast("long"))
-    largest = known.filter(F.col("n_bytes") >= least_bytes).groupBy("digest").agg(F.max(key).alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    repeated = largest.filter("_n > 1").drop("_n")
+    each = known.filter(F.col("n_bytes") >= least_bytes).groupBy("digest", key).agg(F.count(F.lit(1)).alias("_n"))
+    largest = each.groupBy("digest").agg(F.max(F.struct(F.col(key).alias("_keep"), F.col("_n").alias("_times"))).alias("_m"), F.sum("_n").alias("_n"))
+    repeated = largest.filter("_n > 1").select("digest", "_m.*")
     joined = salted_left_join(known, repeated, "digest", key)
-    return joined.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("_keep")), F.col("_keep"))).drop("_keep")
+    joined = joined.withColumn("is_target", F.coalesce((F.col(key) == F.col("_keep")) & (F.col("_times") == 1), F.lit(False)))
+    return joined.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("_keep")), F.col("_keep"))).drop("_keep", "_times")
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -115,13 +124,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         part, n = TaskContext.get().partitionId(), 0
         for b in it:
             out = []
-            for page_id, address, html, digest, refers_to in zip(*(b.column(i) for i in range(5)), strict=True):
+            for page_id, address, html, digest, refers_to, target in zip(*(b.column(i) for i in range(6)), strict=True):
                 n += 1
-                out += records(f"{part}-{n}", page_id.as_py(), address.as_py(), html.as_py(), digest.as_py(), refers_to.as_py(), segment_bytes)
+                out += records(None if target.as_py() else f"{part}-{n}", page_id.as_py(), address.as_py(), html.as_py(), digest.as_py(), refers_to.as_py(), segment_bytes)
             # the writer ends each row with the line feed that ends the record
             yield pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in out], pa.string())], names=["value"])
 
-    lines = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(compose, "value string")
+    lines = rows.select("page_id", "url", "html", "digest", "refers_to", "is_target").mapInArrow(compose, "value string")
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 

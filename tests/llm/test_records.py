@@ -136,6 +136,19 @@ def test_archives_round_trip(spark, segment):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_revisits_refer_to_a_record(spark):
+    page = "x" * 1200
+    df = spark.createDataFrame([(1, "u", page), (2, "u", page), (9, "u", page), (3, "u", "y" * 1500), (4, "u", "short"), (5, "u", "short")], "page_id long, url string, html string")
+    path = new_path(spark, "warc")
+    warc.write_archives(df, path)
+    text = "".join(r.value + "\n" for r in spark.read.option("lineSep", warc.VERSION + "\r\n").text(path).collect())
+    ids = [x.split("\r")[0].strip() for x in text.split("WARC-Record-ID: ")[1:]]
+    refers = [x.split("\r")[0].strip() for x in text.split("WARC-Refers-To: ")[1:]]
+    assert len(set(ids)) == len(ids)
+    assert len(refers) == 2
+    assert set(refers) <= set(ids)
+
+
 def test_missing_segments_are_seen():
     first, second, third = warc.records("1", 7, "u", "q" * 300, hashlib.sha1(b"q" * 300).hexdigest(), None, segment_bytes=100)[:3]
     assert "WARC-Segment-Number: 1" in first

@@ -302,21 +302,70 @@ def _head_size(frame: bytes) -> tuple[int, int]:
     return at + 1, size
 
 
+def _frame_starts(media: bytes, base: int) -> list[int]:
+    """Where the frames begin, by sync code, header CRC-8 and the CRC-16 of the bytes up to the next header."""
+    places, at = [], base
+    while (at := media.find(b"\xff", at)) >= 0:
+        if at + 5 < len(media) and media[at + 1] & 0xFE == 0xF8:
+            try:
+                _head_size(media[at : at + 16])
+                places.append(at)
+            except (ValueError, IndexError):
+                pass
+        at += 1
+    if not places or places[0] != base:
+        raise ValueError("the frames don't begin where the metadata ends")
+    out, tail = [base], 1
+    while tail <= len(places):  # a header within a frame's data doesn't end a frame with a right CRC-16
+        stop = places[tail] if tail < len(places) else len(media)
+        if _crc16(media[out[-1] : stop]) == 0:
+            if stop < len(media):
+                out.append(stop)
+        elif stop == len(media):
+            raise ValueError("a frame's CRC-16 is wrong")
+        tail += 1
+    return [a - base for a in out]
+
+
+def _crc16(data: bytes) -> int:
+    """CRC-16 of FLAC; zero for a frame with its own CRC at the end."""
+    crc, table = 0, _CRC16.tolist()
+    for b in data:
+        crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ b]
+    return crc
+
+
 def _frames_of(media: bytes) -> tuple[dict, list[int], list[bytes]]:
-    """Stream info, the byte offsets of the frames and the frames.  Seek points must name every frame."""
+    """Stream info, the byte offsets of the frames and the frames.
+
+    Seek points that name every sample's frame give the offsets; where there are none, or fewer, the frames are found by their headers.
+    """
     info = stream_info(media)
     if info["channels"] != 1:
         raise ValueError("only mono streams are read")
-    base, at = info["frames"], info["seek"]["byte"].tolist()
+    base, seek = info["frames"], info["seek"]
+    if len(seek) and seek["sample"][0] == 0 and np.array_equal(np.cumsum(seek["count"].astype(np.int64))[:-1], seek["sample"][1:].astype(np.int64)) and int(seek["count"].sum()) == info["samples"]:
+        at = seek["byte"].tolist()
+    else:
+        at = _frame_starts(media, base) if len(media) > base else []
     return info, at, [media[base + a : z] for a, z in zip(at, [*(base + a for a in at[1:]), len(media)], strict=True)]
 
 
 def pcm_blocks(media: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(sample offset, byte offset of the frame, samples) of every block, in order."""
+    """(sample offset, byte offset of the frame, samples) of every block, in order; the stream's length must hold."""
     info, at, frames = _frames_of(media)
+    sample = 0
     for k in range(0, len(frames), PIECE_BLOCKS):
-        part = slice(k, k + PIECE_BLOCKS)
-        yield from zip(info["seek"]["sample"][part].tolist(), at[part], _decode_frames(frames[part], info["bits"]), strict=True)
+        for offset, x in zip(at[k : k + PIECE_BLOCKS], _decode_frames(frames[k : k + PIECE_BLOCKS], info["bits"]), strict=True):
+            yield sample, offset, x
+            sample += len(x)
+    if info["samples"] and sample != info["samples"]:
+        raise ValueError("the stream doesn't have the length it states")
+
+
+def sample_type(bits: int) -> np.dtype:
+    """The little-endian integers that hold samples of so many bits."""
+    return np.dtype("<i1" if bits <= 8 else "<i2" if bits <= 16 else "<i4")
 
 
 def decode_many(media: list[bytes]) -> list[np.ndarray]:
@@ -335,7 +384,7 @@ def decode_many(media: list[bytes]) -> list[np.ndarray]:
             parts[o].append(x)
     out = []
     for info, own in zip(infos, parts, strict=True):
-        pcm = np.concatenate(own).astype(np.int8 if info["bits"] <= 8 else np.int16)
+        pcm = np.concatenate(own).astype(sample_type(info["bits"])) if own else np.zeros(0, np.int8)
         if len(pcm) != info["samples"] or any(info["md5"]) and hashlib.md5(pcm.tobytes()).digest() != info["md5"]:
             raise ValueError("the samples don't have the length or MD5 that the stream states")
         out.append(pcm)
@@ -463,7 +512,7 @@ def encode_column(docs: DataFrame, text: str = "text", media: str = "media") ->
 
 
 def decode_column(docs: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """PCM blocks of the binary column ``media``: ``key``, block, sample_offset, byte_offset (of the frame, from the first), pcm.  Null media give no rows."""
+    """PCM blocks of the binary column ``media``: ``key``, block, sample_offset, byte_offset (of the frame, from the first), pcm (``sample_type`` of the stream's bits).  Null media give no rows."""
     slim = docs.select(key, media)
     schema = slim.select(key, *(F.lit(0).cast("long").alias(c) for c in ("block", "sample_offset", "byte_offset")), F.lit(b"").alias("pcm")).schema
 
@@ -473,10 +522,10 @@ def decode_column(docs: DataFrame, media: str = "media", key: str = "doc_id") ->
                 m = b.column(1)[k].as_py()
                 if m is None:
                     continue
-                found = list(pcm_blocks(m))
+                found, kind = list(pcm_blocks(m)), sample_type(stream_info(m)["bits"])
                 ids = pa.concat_arrays([b.column(0).slice(k, 1)] * len(found)) if found else b.column(0).slice(0, 0)
                 cols = [ids, pa.array(range(len(found)), pa.int64()), pa.array([s for s, _, _ in found], pa.int64()), pa.array([o for _, o, _ in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.astype(np.int8).tobytes() for _, _, x in found], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x.astype(kind).tobytes() for _, _, x in found], pa.binary())], names=schema.names)
 
     return slim.mapInArrow(batches, schema)
 

@@ -168,3 +168,96 @@ def test_quality_of_odd_inputs(spark):
     assert {r.score for r in got} == {0.5}
     one = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     assert quality.score_documents(df, one).count() == 5
+
+
+@pytest.mark.parametrize("piece", [7, 50, 1 << 20])
+def test_counts_do_not_depend_on_pieces(piece):
+    text = "Łódź and ΟΔΟΣ, " * 9
+    assert (langid.bucket_counts(text, piece) == np.bincount(langid.ngram_buckets(text), minlength=langid.BUCKETS)).all()
+    assert (langid.bucket_counts("a", piece) == np.bincount(langid.ngram_buckets("a"), minlength=langid.BUCKETS)).all()
+    index = quality.index_vectors()
+    whole, cut = np.zeros_like(index), np.zeros_like(index)
+    quality.add_contexts(whole, index, "one two two three four four five " * 9)
+    quality.add_contexts(cut, index, "one two two three four four five " * 9, piece)
+    assert (whole == cut).all()
+
+
+def slow_bayes(rows, text):
+    """Naive Bayes by plain loops over the n-grams."""
+    docs, counts = {}, {}
+    for t, la in rows:
+        docs[la] = docs.get(la, 0) + 1
+        for b in langid.ngram_buckets(t).tolist():
+            counts.setdefault(la, {})[b] = counts.setdefault(la, {}).get(b, 0) + 1
+    out = {}
+    for la in docs:
+        size = sum(counts[la].values()) + 0.5 * langid.BUCKETS
+        out[la] = np.log(docs[la] / len(rows)) + sum(np.log((counts[la].get(b, 0) + 0.5) / size) for b in langid.ngram_buckets(text).tolist())
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    rows = [("the cat sat on the mat", "en"), ("a dog and the cat", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("die Maus", "de")]
+    df = spark.createDataFrame([(None if k % 2 else 5, t, la) for k, (t, la) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    for text in ("the mouse", "die Katze", "chat", "zzz", "le " * 3000):
+        want = slow_bayes(rows, text)
+        best = max(sorted(want), key=want.get)
+        (lang,), (score,) = model.predict([text])
+        assert lang == best
+        assert score == pytest.approx(1 / sum(np.exp(v - want[best]) for v in want.values()), abs=2e-3)
+
+
+def test_rare_languages_are_sampled(spark):
+    df = spark.range(20_000).selectExpr("id", "if(id % 4000 = 0, 'rare', 'usual') as l", "cast(id as string) as t")
+    got = langid.sampled(df, 20_000, 1000, "id", "t", by="l").groupBy("l").count().collect()
+    found = {r.l: r["count"] for r in got}
+    assert found["rare"] == 5
+    assert 700 < found["usual"] < 1300
+
+
+def _stream(samples, bits, drop):
+    """A stream of samples with ``bits`` in verbatim frames of 16, with the seek points that ``drop`` leaves."""
+    frames = []
+    for k in range(0, len(samples), 16):
+        part = samples[k : k + 16]
+        head = bytes([0xFF, 0xF8, 0x60, {8: 2, 16: 8, 24: 12}[bits], k // 16, len(part) - 1])
+        head += bytes([_crc(head, 0x07, 8)])
+        body = head + bytes([2]) + b"".join(int(v).to_bytes(bits // 8, "big", signed=True) for v in part)
+        frames.append(body + _crc(body, 0x8005, 16).to_bytes(2, "big"))
+    kind = flac.sample_type(bits)
+    raw = np.array(samples, kind).tobytes() if bits != 24 else b"".join(int(v).to_bytes(3, "little", signed=True) for v in samples)
+    packed = (8000 << 44 | (bits - 1) << 36 | len(samples)).to_bytes(8, "big")
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + packed + (hashlib.md5(raw).digest() if bits != 24 else bytes(16))
+    offsets = np.cumsum([0, *(len(f) for f in frames[:-1])]).tolist()
+    points = [(16 * k, o, min(16, len(samples) - 16 * k)) for k, o in enumerate(offsets) if not drop(k)]
+    table = b"".join(s.to_bytes(8, "big") + o.to_bytes(8, "big") + n.to_bytes(2, "big") for s, o, n in points)
+    seek = bytes([0x83]) + len(table).to_bytes(3, "big") + table if points else b""
+    first = bytes([0x00 if points else 0x80]) + len(info).to_bytes(3, "big") + info
+    return b"fLaC" + first + seek + b"".join(frames)
+
+
+def _crc(data, poly, bits):
+    crc, top, mask = 0, 1 << (bits - 1), (1 << bits) - 1
+    for b in data:
+        crc ^= b << (bits - 8)
+        for _ in range(8):
+            crc = (crc << 1 ^ poly if crc & top else crc << 1) & mask
+    return crc
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24])
+@pytest.mark.parametrize("drop", [lambda k: True, lambda k: k % 2, lambda k: False], ids=["none", "sparse", "full"])
+def test_streams_by_others(spark, bits, drop):
+    rng = np.random.default_rng(bits)
+    samples = rng.integers(-(1 << bits - 1), 1 << bits - 1, 100)
+    samples[20:24] = [-1, -8, -1, -8]  # bytes like a frame's beginning
+    media = _stream(samples.tolist(), bits, drop)
+    blocks = list(flac.pcm_blocks(media))
+    assert [s for s, _, _ in blocks] == list(range(0, 100, 16))
+    assert np.concatenate([x for _, _, x in blocks]).tolist() == samples.tolist()
+    df = spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary")
+    rows = sorted(flac.decode_column(df).collect(), key=lambda r: r.block)
+    assert b"".join(r.pcm for r in rows) == samples.astype(flac.sample_type(bits)).tobytes()
+    if bits < 24:
+        assert flac.decode(media).tolist() == samples.tolist()

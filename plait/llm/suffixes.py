@@ -18,7 +18,7 @@ depends on the window's bytes only, so equal windows share it at the same offset
 4.  ``remove``: the spans of a document meet its text.
 
 Null texts count as empty, shorter texts than ``depth`` lose nothing.  Null ids come
-after all others.  Rows of equal id are separate documents, ordered by a hash of the text; rows equal in
+after all others.  Rows of equal id are separate documents, ordered by the SHA-256 of the text; rows equal in
 both do not remove each other and give equal results.  Other columns are not returned.
 """
 
@@ -29,7 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plait.llm.common import materialize, salted_left_join
@@ -140,9 +140,18 @@ def _batch_anchors(column: pa.Array, depth: int) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id (nulls last), tie (24 bits of a hash of the text) and the text's bytes."""
+    """id (nulls last), tie (a number of the text among the different ones of its id) and the text's bytes."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(whole).bitwiseAND(F.lit(0xFFFFFF)).alias("tie"), whole.cast("binary").alias("data"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), whole.cast("binary").alias("data"))
+    known = rows.select("id", F.sha2("data", 256).alias("digest"))
+    repeated = known.groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("id")
+    if repeated.isEmpty():
+        return rows.select("id", F.lit(0).cast("long").alias("tie"), "data")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("digest")).cast("long")
+    ties = materialize(known.join(repeated, "id", "left_semi").distinct().select("id", "digest", number.alias("tie")), "ties")
+    if ties.filter(F.col("tie") >= 1 << 24).limit(1).count():
+        raise ValueError("one id has over 2^24 different texts")
+    return rows.withColumn("digest", F.sha2("data", 256)).join(ties, ["id", "digest"], "left").select("id", F.coalesce("tie", F.lit(0)).alias("tie"), "data")
 
 
 # place: tie, first window and number of windows in one long that orders places within an id; below zero: settled

@@ -163,6 +163,21 @@ def test_removal_of_repeated_and_absent_rows(spark):
     assert [tuple(s) for s in kept[2].spans] == [(0, 110)]
 
 
+def test_removal_of_different_texts_of_one_id(spark):
+    """Many texts under null ids or one id: none is taken for another."""
+    rng = random.Random(40)
+    base = "".join(rng.choice("abcdefgh") for _ in range(300))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(120)) for _ in range(300)] + [base, base[:200] + "zz", base]
+    df = docs(spark, [(None, t) for t in texts] + [(3, t + "!") for t in texts[:3]] + [(3, base), (4, "short")]).repartition(3)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffixes.removal_digests(df).collect())
+    # id 3 comes before the null ids: its texts stay, those of null ids lose what they share with them
+    removed = [0] * 300
+    for k in range(3):
+        removed[k] = 120
+    want = [("None", 120, n) for n in removed] + [("None", 300, 300), ("None", 202, 200), ("None", 300, 300)] + [("3", 121, 0)] * 3 + [("3", 300, 0), ("4", 5, 0)]
+    assert got == sorted(want)
+
+
 # -- passages ------------------------------------------------------------------------------
 def slow_windows(hashes, least):
     """Every passage's min-hash must be that of a window that holds it, by the tree and by its nodes read off at once."""
@@ -289,6 +304,7 @@ def test_contexts_that_are_similar():
     assert {tuple(sorted(o[:2])) for o in context_links(rows, [1, 2, 3, 4])} == {(0, 1), (0, 2)}
     assert context_links(rows, [1, 1, 1, 4]) == []
     counts = passages._shared_counts(rows, rows)
+    assert (np.triu(counts, 1) == np.triu(passages._own_counts(rows), 1)).all()
     assert all(counts[a, b] == len(np.intersect1d(rows[a], rows[b])) for a in range(4) for b in range(4) if a != b)
 
 

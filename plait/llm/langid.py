@@ -66,12 +66,14 @@ def bucket_counts(text: str, piece: int = BATCH_CHARS) -> np.ndarray:
 def sampled(rows: DataFrame, n: int, bound: int, *of: str, by: str | None = None, least: int = LEAST_DOCS) -> DataFrame:
     """About ``bound`` of the ``n`` rows, by a hash of the columns ``of``; all if there are no more.
 
-    Of each value of ``by`` about ``least`` rows are taken at least, so that rare ones are learned, too.
+    Of each value of ``by`` about ``least`` rows are taken at least, so that rare ones are learned, too; the values are few, as
+    a model has a row for each.
     """
-    share = F.lit(min(1.0, bound / max(n, 1)))
-    if by is not None:
-        rows = rows.join(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
-        share = F.greatest(share, F.lit(float(least)) / F.col("_n"))
+    part = min(1.0, bound / max(n, 1))
+    share = F.lit(part)
+    if by is not None and part < 1:
+        for value, times in rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * part < least).toLocalIterator():
+            share = F.when(F.col(by) == value, F.lit(least / times)).otherwise(share)
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), *of), F.lit(1_000_000)) < F.ceil(share * 1_000_000))
 
 

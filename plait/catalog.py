@@ -5,11 +5,14 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field, replace
 from pathlib import Path
+from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from plait.functions.stats import TableStats, gather
+
 log = logging.getLogger(__name__)
 
 #: Family of each declared type; columns compare within a family.
@@ -99,10 +102,24 @@ class Catalog:
     spark: SparkSession
     frames: dict[str, DataFrame] = field(default_factory=dict)
     defs: dict[str, TableDef] = field(default_factory=dict)
+    stats: dict[Any, TableStats] = field(default_factory=dict)
+
+    def statistics(self, tables: list[str]) -> dict[Any, TableStats]:
+        """Statistics of the tables, gathered once each, and of the joins that were measured."""
+        for t in tables:
+            if t not in self.stats:
+                text = tuple(c.name for c in self.defs[t].columns if FAMILIES[c.type] == "text")
+                self.stats[t] = gather(self.frames[t], text)
+        return self.stats
+
+    def keep_statistics(self, tables: list[str], conditions: frozenset, stats: TableStats) -> None:
+        """Rows and size of a join of ``tables``, in whatever order they were joined."""
+        self.stats[frozenset(tables), conditions] = stats
 
     def register(self, name: str, df: DataFrame, schema: TableDef | None = None) -> None:
         if name in self.frames:
             log.warning("table %s is registered again", name)
+            self.stats = {k: s for k, s in self.stats.items() if k != name and (isinstance(k, str) or name not in k[0])}
         self.frames[name] = df
         self.defs[name] = schema or declared(df, name)
         df.createOrReplaceTempView(name)

@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from plait.catalog import Catalog, load_schemas
 from plait.parser import parse
-from plait.plans.lab import report, run_top
+from plait.plans.lab import Timings, report, run_top
 from plait.plans.tree import plan
 
 HELP = """help      this text
@@ -31,14 +31,18 @@ def answer(line: str, catalog: Catalog, show: int = 20) -> str:
         specs = parse(rest if word in ("plans", "explain") else line)
         if not specs:
             return "no joins"
+        timings = Timings()
         if word == "plans":
-            return report(run_top(specs, catalog))
-        df = plan(specs, catalog)
+            return report(run_top(specs, catalog, timings=timings)) + f"\n{timings.report()}"
+        with timings.measure("plan"):
+            df = plan(specs, catalog)
         if word == "explain":
             from plait.plans.lab import explain
 
             return explain(df)
-        return df._jdf.showString(show, 40, False)
+        with timings.measure("run"):
+            rows = df._jdf.showString(show, 40, False)
+        return rows + timings.report()
     except ValueError as e:
         return f"error: {e}"
 

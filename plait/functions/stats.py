@@ -20,8 +20,12 @@ PAGE_BYTES = 8192
 #: Distinct counts come from HyperLogLog sketches of 2^14 registers (about 0.9 % off).
 NDV_BITS = 14
 QUANTILES = (0.25, 0.5, 0.75)
+#: Shares whose quantiles are kept for planning.
+SHARES = tuple(k / 100 for k in range(1, 100))
 UNKNOWN = 1 / 3
 PREFIX = 3
+#: Prefixes kept of a text column.  The others share what rows are left.
+PREFIXES = 1000
 
 
 @dataclass
@@ -30,7 +34,8 @@ class ColumnStats:
     ndv: int
     low: Any
     high: Any
-    quantiles: list[float] = field(default_factory=list)
+    quantiles: list[float] = field(default_factory=list)  # one for each of SHARES
+    prefixes: dict[str, int] = field(default_factory=dict)  # rows by first characters, of text
 
 
 @dataclass
@@ -64,15 +69,23 @@ def stats_frame(df: DataFrame, wanted: tuple[str, ...] = ("n_nulls", "ndv", "low
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def gather(df: DataFrame) -> TableStats:
-    """Statistics for planning; one aggregate row comes to the driver."""
+def row_bytes(df: DataFrame) -> Column:
+    """Average size of a row as text."""
+    return F.avg(F.octet_length(F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns))))
+
+
+def gather(df: DataFrame, prefixes: tuple[str, ...] = ()) -> TableStats:
+    """Statistics for planning; one aggregate row comes to the driver, and the most frequent prefixes of the text columns in ``prefixes``."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    aggs = [F.count(F.lit(1)).alias("rows"), F.avg(F.octet_length(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)))).alias("row_bytes")]
+    aggs = [F.count(F.lit(1)).alias("rows"), row_bytes(df).alias("row_bytes")]
     for c in df.columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), _ndv(c).alias(f"{c}__ndv"), F.min(c).alias(f"{c}__low"), F.max(c).alias(f"{c}__high")]
-    aggs += [F.percentile_approx(F.col(c).cast("double"), list(QUANTILES), 10000).alias(f"{c}__q") for c in numeric]
+    aggs += [F.percentile_approx(F.col(c).cast("double"), list(SHARES), 10000).alias(f"{c}__q") for c in numeric]
     r = df.agg(*aggs).first()
     columns = {c: ColumnStats(r[f"{c}__nulls"], r[f"{c}__ndv"], r[f"{c}__low"], r[f"{c}__high"], list(r[f"{c}__q"] or []) if c in numeric else []) for c in df.columns}
+    for c in prefixes:
+        heads = prefix_histogram(df, c).orderBy(F.desc("n"), "prefix").limit(PREFIXES).collect()
+        columns[c].prefixes = {h["prefix"]: h["n"] for h in heads}
     return TableStats(r["rows"], r["row_bytes"] or 0.0, columns)
 
 
@@ -91,7 +104,7 @@ def cdf(stats: ColumnStats, value: float) -> float:
     """Share of values at most ``value``, linear between the known quantiles."""
     if stats.low is None or not stats.quantiles:
         return 0.5
-    points = [(float(stats.low), 0.0), *zip(map(float, stats.quantiles), QUANTILES, strict=True), (float(stats.high), 1.0)]
+    points = [(float(stats.low), 0.0), *zip(map(float, stats.quantiles), SHARES, strict=True), (float(stats.high), 1.0)]
     if value < points[0][0]:
         return 0.0
     for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
@@ -100,27 +113,30 @@ def cdf(stats: ColumnStats, value: float) -> float:
     return 1.0
 
 
+def _same_prefix(a: ColumnStats, b: ColumnStats, rows_a: int, rows_b: int) -> float:
+    """Share of the pairs of known values that begin alike, of the prefixes that were kept."""
+    known = max(1, rows_a - a.nulls) * max(1, rows_b - b.nulls)
+    return sum(n * b.prefixes.get(p, 0) for p, n in a.prefixes.items()) / known
+
+
 def selectivity(op: Op, a: ColumnStats | None, b: ColumnStats | None, rows_a: int = 0, rows_b: int = 0) -> float:
     """Share of the pairs of rows that satisfy ``a op b``."""
     if a is None or b is None or not a.ndv or not b.ndv:
         return UNKNOWN if a is None or b is None else 0.0
     known = (1 - a.nulls / rows_a if rows_a else 1.0) * (1 - b.nulls / rows_b if rows_b else 1.0)
-    equal = 1 / max(a.ndv, b.ndv)
+    equal = _same_prefix(a, b, rows_a, rows_b) / max(1.0, max(a.ndv, b.ndv) / max(len(a.prefixes), len(b.prefixes))) if a.prefixes and b.prefixes and rows_a and rows_b else 1 / max(a.ndv, b.ndv)
     if op is Op.EQ:
         return known * equal
     if op is Op.NE:
         return known * (1 - equal)
     if not a.quantiles or not b.quantiles:
         return known * UNKNOWN
-    # a's share below b, averaged over b's quartiles
+    # a's share below b, averaged over b's quantiles
     below = sum(cdf(a, q) for q in b.quantiles) / len(b.quantiles)
     share = {Op.LT: below - equal, Op.LE: below, Op.GT: 1 - below, Op.GE: 1 - below + equal}[op]
     return known * min(1.0, max(0.0, share))
 
 
-def join_stats(a: TableStats, b: TableStats, rows: float) -> TableStats:
-    """Size of a join's result, without column statistics."""
-    return TableStats(int(rows), a.row_bytes + b.row_bytes)
 
 
 def dump(stats: TableStats, path: str | Path) -> None:

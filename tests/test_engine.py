@@ -9,6 +9,7 @@ from plait.catalog import Catalog, ColumnDef, TableDef
 from plait.cli import answer
 from plait.functions import stats
 from plait.operators import access
+from plait.operators.strategies import Strategy
 from plait.parser import parse
 from plait.plans import lab
 from plait.plans.cost import estimate
@@ -70,7 +71,7 @@ def test_rewrites_that_do_not_apply():
 
 def test_alternatives_agree(tables):
     node = left_deep(parse("a INNER b ON ida = idb INNER c ON idb = idc"))
-    found = alternatives(node)
+    found = list(alternatives(node))
     assert len(found) >= 6
     assert len({str(bag(compile_tree(n, tables, list(node.tables)))) for n in found}) == 1
 
@@ -86,6 +87,30 @@ def test_plan_lab(tables, tmp_path):
     assert lab.dump_plans(specs, tables, tmp_path / "plans.txt") == len(found)
 
 
+def test_the_cheapest_plans_are_of_all_plans(tables):
+    specs = parse("a INNER b ON ida = idb INNER c ON idb = idc")
+    sizes = {"a": stats.TableStats(10, 20.0), "b": stats.TableStats(3000, 9.0), "c": stats.TableStats(70, 50.0)}
+    every = lab.ranked(specs, tables, sizes)
+    trees = list(alternatives(left_deep(specs)))
+    assert len(every) == len({lab.pretty(t) for _, t in every}) == len(trees) * len([s for s in Strategy if s is not Strategy.AUTO]) ** 2
+    assert [c for c, _ in every] == pytest.approx([estimate(t, sizes).cost for _, t in every])
+    for n in (1, 6, 50):
+        assert [c for c, _ in lab.ranked(specs, tables, sizes, n=n)] == pytest.approx([c for c, _ in every[:n]])
+
+
+def test_measured_joins_replace_estimates(tables):
+    specs = parse("a INNER b ON ida = idb")
+    timings = lab.Timings()
+    tables.stats.clear()
+    lab.run_top(specs, tables, n=1, timings=timings)
+    assert list(timings.seconds) == ["rank", "plan 1: compile", "plan 1: run"]
+    rows = plan(specs, tables).count()
+    for tree in alternatives(left_deep(specs)):
+        assert estimate(tree, tables.statistics(["a", "b"])).rows == rows
+    tables.register("a", tables.frames["a"])
+    assert set(tables.stats) == {"b"}
+
+
 def test_cost_grows_with_rows():
     node = left_deep(parse("a INNER b ON ida = idb"))
     small = {t: stats.TableStats(10, 20.0) for t in "ab"}
@@ -166,7 +191,9 @@ def test_statistics(spark, tmp_path):
     with pytest.raises(ValueError):
         stats.dump(s, tmp_path / "s.csv")
     assert {tuple(r) for r in stats.prefix_histogram(df, "s", 1).collect()} == {("n", 2000)}
-    assert stats.join_stats(s, s, 10).rows == 10
+    text = stats.gather(df, ("s",)).columns["s"]
+    assert sum(text.prefixes.values()) == 2000
+    assert stats.selectivity(Op.EQ, text, text, 2000, 2000) == pytest.approx(1 / 7, rel=0.05)
 
 
 def test_prompt(tables):

@@ -2,8 +2,8 @@
 
 Blocks of many streams are encoded and decoded together, ``PIECE_BLOCKS`` at a time.
 The encoder cuts the samples into blocks, picks for each block the cheapest of the
-constant, verbatim and fixed predictors (orders 0 to 4) with one Rice parameter, and
-writes STREAMINFO, a SEEKTABLE with the byte offset of every block's frame, and frames with
+constant, verbatim, fixed (orders 0 to 4) and quantised linear (order ``TAPS``) predictors
+with one Rice parameter, and writes STREAMINFO, a SEEKTABLE with the byte offset of every block's frame, and frames with
 CRC-8 and CRC-16.  The decoder reads constant, verbatim, fixed and quantised linear
 (LPC) subframes with Rice partitions of either parameter size and escapes, verifies both checksums and
 the stream's MD5, and gives PCM blocks with their sample and byte offsets.  Subframes
@@ -31,6 +31,9 @@ RATE = 8000
 BITS = 8
 #: Blocks encoded or decoded at a time; bounds memory for long texts.
 PIECE_BLOCKS = 2048
+#: Order of the linear predictors that the encoder tries, and the bits of a coefficient.
+TAPS = 8
+PRECISION = 12
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -88,6 +91,37 @@ class _Bits:
         return np.packbits(self.bits, axis=1)
 
 
+def _fold(r: np.ndarray) -> np.ndarray:
+    """Signed residuals as unsigned, small ones first."""
+    return ((r << 1) ^ (r >> 31)).astype(np.uint32)
+
+
+def _rice_costs(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best Rice parameter of each row and the bits of its codes."""
+    costs = np.array([(z >> p).sum(1, dtype=np.int64) + (1 + p) * z.shape[1] for p in range(BITS + 1)])
+    return costs.argmin(0), costs.min(0)
+
+
+def _linear_predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (of the latest sample first) and shifts of the rows, none constant, by Levinson and Durbin's recursion on exact autocorrelations."""
+    size = x.shape[1]
+    r = np.stack([(x[:, : size - lag] * x[:, lag:]).sum(1, dtype=np.int64) for lag in range(TAPS + 1)], axis=1).astype(np.float64)
+    a, error = np.zeros((len(x), TAPS)), r[:, 0].copy()
+    for k in range(TAPS):
+        left = r[:, k + 1].copy()
+        for j in range(k):
+            left -= a[:, j] * r[:, k - j]
+        gain = np.where(error > 0, left / np.where(error > 0, error, 1.0), 0.0)
+        old = a[:, :k].copy()
+        a[:, :k] -= gain[:, None] * old[:, ::-1]
+        a[:, k] = gain
+        error *= 1 - gain * gain
+    top = (1 << PRECISION - 1) - 1
+    _, exponent = np.frexp(np.abs(a).max(1))
+    shift = np.clip(PRECISION - 1 - exponent, 0, 15).astype(np.int32)
+    return np.clip(np.rint(np.ldexp(a, shift[:, None])), -top, top).astype(np.int32), shift
+
+
 def _encode_blocks(x: np.ndarray, numbers: list[int]) -> list[bytes]:
     """Frames of the rows of ``x`` (blocks by samples)."""
     n, size = x.shape
@@ -99,29 +133,39 @@ def _encode_blocks(x: np.ndarray, numbers: list[int]) -> list[bytes]:
             break
         if order:
             r = np.diff(x, order, axis=1)
-        z = ((r << 1) ^ (r >> 31)).astype(np.uint32)
+        z = _fold(r)
         sums = z.sum(1, dtype=np.int64)
         orders.append(sums)
         folded.append(z)
     order = np.argmin(np.array(orders), axis=0)
     constant = (x == x[:, :1]).all(1)
     frames: list[bytes] = [b""] * n
-    for k in range(len(folded)):
+    rice, best = np.zeros(n, np.int64), np.full(n, 8 * size, np.int64)
+    for k, z in enumerate(folded):
         at = np.flatnonzero((order == k) & ~constant)
-        if not len(at):
-            continue
-        z = folded[k][at]
-        count = z.shape[1]
-        costs = np.array([(z >> p).sum(1, dtype=np.int64) + (1 + p) * count for p in range(BITS + 1)])
-        rice = costs.argmin(0)
-        best = costs.min(0)
-        verbatim = best + 8 * k + 10 >= 8 * size
-        for p in np.unique(rice[~verbatim]):
-            rows = np.flatnonzero(~verbatim & (rice == p))
-            for i, body in zip(at[rows], _rice_bodies(x[at[rows], :k], z[rows], k, int(p)), strict=True):
+        if len(at):
+            rice[at], best[at] = _rice_costs(z[at])
+            best[at] += 8 * k + 10
+    order[best >= 8 * size] = -1  # verbatim
+    if size > 2 * TAPS:
+        at = np.flatnonzero(~constant)
+        taps, shift = _linear_predictors(x[at])
+        z = _fold(x[at, TAPS:] - (sum(taps[:, j, None] * x[at, TAPS - 1 - j : size - 1 - j] for j in range(TAPS)) >> shift[:, None]))
+        params, costs = _rice_costs(z)
+        won = costs + 8 * TAPS + 9 + PRECISION * TAPS + 10 < best[at]
+        order[at[won]] = TAPS
+        for p in np.unique(params[won]):
+            rows = np.flatnonzero(won & (params == p))
+            fields = [(np.full(len(rows), PRECISION - 1), 4), (shift[rows], 5), *((taps[rows, j], PRECISION) for j in range(TAPS))]
+            for i, body in zip(at[rows], _rice_bodies(x[at[rows], :TAPS], z[rows], 0b100000 | TAPS - 1, int(p), fields), strict=True):
                 frames[i] = body
-        for i in at[verbatim]:
-            frames[i] = bytes([0b00000010]) + (x[i] & 0xFF).astype(np.uint8).tobytes()
+    for k, z in enumerate(folded):
+        for p in np.unique(rice[(order == k) & ~constant]):
+            rows = np.flatnonzero((order == k) & ~constant & (rice == p))
+            for i, body in zip(rows, _rice_bodies(x[rows, :k], z[rows], 0b001000 | k, int(p)), strict=True):
+                frames[i] = body
+    for i in np.flatnonzero((order < 0) & ~constant):
+        frames[i] = bytes([0b00000010]) + (x[i] & 0xFF).astype(np.uint8).tobytes()
     for i in np.flatnonzero(constant):
         frames[i] = bytes([0b00000000, int(x[i, 0]) & 0xFF])
     bodies = [_frame_head(i, size) + f for i, f in zip(numbers, frames, strict=True)]
@@ -133,23 +177,22 @@ def _encode_blocks(x: np.ndarray, numbers: list[int]) -> list[bytes]:
     return [b + int(c).to_bytes(2, "big") for b, c in zip(bodies, crcs, strict=True)]
 
 
-def _rice_bodies(warm: np.ndarray, z: np.ndarray, order: int, p: int) -> list[bytes]:
-    """Fixed subframes of one order and Rice parameter: type, warm-up samples, one partition."""
+def _rice_bodies(warm: np.ndarray, z: np.ndarray, kind: int, p: int, fields: list[tuple[np.ndarray, int]] | None = None) -> list[bytes]:
+    """Subframes of one type and Rice parameter: type, warm-up samples, ``fields`` (values and their bits), one partition."""
     n, count = z.shape
-    lead = 8 + 8 * order + 6 + 4
+    fields = [*((warm[:, k], 8) for k in range(warm.shape[1])), *(fields or []), (np.full(n, p), 10)]  # method 00, partition order 0000, then the parameter
+    lead = 8 + sum(size for _, size in fields)
     high = (z >> p).astype(np.int64)
     ends = lead + np.cumsum(high + 1 + p, axis=1)
     width = ends[:, -1]
     out = _Bits(width)
     bits = out.bits
-    head = [0, *((0b001000 | order) >> s & 1 for s in range(5, -1, -1)), 0]
-    bits[:, :8] = head
-    for k in range(order):
-        for s in range(8):
-            bits[:, 8 + 8 * k + s] = warm[:, k] >> (7 - s) & 1
-    # method 00, partition order 0000, then the parameter
-    for s in range(4):
-        bits[:, lead - 4 + s] = p >> (3 - s) & 1
+    bits[:, :8] = [0, *(kind >> s & 1 for s in range(5, -1, -1)), 0]
+    at = 8
+    for values, size in fields:
+        for s in range(size):
+            bits[:, at + s] = values >> (size - 1 - s) & 1
+        at += size
     flat, base = bits.reshape(-1), np.arange(n)[:, None] * bits.shape[1]
     stop = (base + ends).reshape(-1)
     flat[stop - p - 1] = 1
@@ -415,23 +458,35 @@ def _decode_frames(frames: list[bytes], depth: int) -> list[np.ndarray]:
         plain = depth == 8 and not f[head] & 1
         if plain and kind == 1:
             out[i] = np.frombuffer(f, np.int8, size, head + 1)
-        elif plain and 8 <= kind <= 12:
-            order = kind - 8
-            after = f[head + 1 + order] << 8 | f[head + 2 + order]
-            p = after >> 6 & 15
-            if after >> 10 == 0 and p <= 8:  # 4-bit parameter, one partition
-                alike.setdefault(size, []).append((i, head, order, p))
-        if out[i] is None and not (alike.get(size) and alike[size][-1][0] == i):
+        elif plain and (8 <= kind <= 12 or kind >= 32):
+            order, r = kind - 8 if kind <= 12 else kind - 31, _Reader(f)
+            r.at = (head + 1 + order) * 8
+            taps, shift = (), 0
+            if kind >= 32:
+                precision, shift = r.take(4) + 1, r.signed(5)
+                taps = _split(r.take(precision * order), precision, order)
+            after = r.take(10)
+            if after < 9 and shift >= 0:  # 4-bit parameter, one partition
+                alike.setdefault(size, []).append((i, head, order, after, r.at, shift, taps))
+                continue
+        if out[i] is None:
             out[i] = np.array(_subframe(_Reader(f[head:-2]), size, depth), np.int32)
     for size, found in alike.items():
-        at, heads, orders, params = (np.array(c) for c in zip(*found, strict=True))
-        for i, x in zip(at.tolist(), _decode_alike(rows[at], heads, size, orders, params), strict=True):
+        *columns, taps = zip(*found, strict=True)
+        at, heads, orders, params, starts, shifts = (np.array(c) for c in columns)
+        for i, x in zip(at.tolist(), _decode_alike(rows[at], heads, size, orders, params, starts, shifts, taps), strict=True):
             out[i] = x
     return out
 
 
-def _decode_alike(rows: np.ndarray, heads: np.ndarray, size: int, orders: np.ndarray, params: np.ndarray) -> np.ndarray:
-    """Fixed subframes of one size, one Rice partition each: all rows a residual at a time, then the predictors undone."""
+def _split(packed: int, bits: int, count: int) -> tuple[int, ...]:
+    """Signed integers of so many bits, packed one after the other."""
+    half, mask = 1 << bits - 1, (1 << bits) - 1
+    return tuple((packed >> bits * k & mask ^ half) - half for k in range(count - 1, -1, -1))
+
+
+def _decode_alike(rows: np.ndarray, heads: np.ndarray, size: int, orders: np.ndarray, params: np.ndarray, starts: np.ndarray, shifts: np.ndarray, taps: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """Fixed and linear subframes of one size, one Rice partition each: all rows a residual at a time, then the predictors undone."""
     n = len(rows)
     wide = rows.astype(np.int32).reshape(-1)
     window = wide << 16  # the 24 bits from each byte on
@@ -440,7 +495,7 @@ def _decode_alike(rows: np.ndarray, heads: np.ndarray, size: int, orders: np.nda
     flat = np.unpackbits(rows.reshape(-1))
     places = np.where(flat, np.arange(len(flat), dtype=np.int32), np.int32(len(flat) - 1))
     nxt = np.minimum.accumulate(places[::-1])[::-1]  # the next set bit
-    at = (np.arange(n) * rows.shape[1] * 8 + (heads + 1 + orders) * 8 + 10).astype(np.int32)
+    at = (np.arange(n) * rows.shape[1] * 8 + starts).astype(np.int32)
     p = params.astype(np.int32)
     mask, step, top = (1 << p) - 1, p + 1, 24 - p
     z = np.empty((size, n), np.int32)
@@ -452,9 +507,13 @@ def _decode_alike(rows: np.ndarray, heads: np.ndarray, size: int, orders: np.nda
         at = np.minimum(one + step, limit)
     z = (z >> 1) ^ -(z & 1)
     out = np.empty((n, size), np.int32)
-    for order in np.unique(orders).tolist():
-        own = np.flatnonzero(orders == order)
+    linear = np.array([bool(t) for t in taps])
+    for order, by_taps in sorted(set(zip(orders.tolist(), linear.tolist(), strict=True))):
+        own = np.flatnonzero((orders == order) & (linear == by_taps))
         warm = rows[own[:, None], heads[own, None] + 1 + np.arange(order)].astype(np.int8).astype(np.int32)
+        if by_taps:
+            out[own] = _predicted(warm, z[: size - order, own], np.array([taps[i] for i in own.tolist()], np.int32), shifts[own].astype(np.int32))
+            continue
         r = z[: size - order, own].T
         for d in range(order, 0, -1):  # sum up: the last (d-1)-th difference of the warm-up samples begins each sum
             r = np.cumsum(r, axis=1, dtype=np.int32) + (np.diff(warm, d - 1, axis=1)[:, -1:] if d > 1 else warm[:, -1:])
@@ -462,6 +521,17 @@ def _decode_alike(rows: np.ndarray, heads: np.ndarray, size: int, orders: np.nda
     return out
 
 
+def _predicted(warm: np.ndarray, r: np.ndarray, taps: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Samples of linear subframes of one order (rows by samples): all rows a sample at a time."""
+    n, order = warm.shape
+    x = np.empty((order + len(r), n), np.int32)
+    x[:order] = warm.T
+    back = np.ascontiguousarray(taps[:, ::-1].T)  # of the earliest sample first
+    for k in range(len(r)):
+        x[order + k] = r[k] + ((back * x[k : k + order]).sum(0, dtype=np.int32) >> shifts)
+    return x.T
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     data = (text or "").encode("utf-8", "surrogatepass")
     return data + b"\xff" * (-len(data) % BLOCK if data else BLOCK), len(data)

@@ -113,6 +113,29 @@ def test_linear_predictors_partitions_and_escapes():
     assert flac._subframe(flac._Reader(_bits(*fields)), 8, 8) == want
 
 
+def _subframe_types(media):
+    return [f[flac._head_size(f)[0]] >> 1 for f in flac._frames_of(media)[2]]
+
+
+def test_linear_predictors_are_written_and_read():
+    """The encoder's linear subframes, read a block at a time as a whole and sample by sample."""
+    rng = np.random.default_rng(8)
+    wave = (60 * np.sin(np.arange(6000) / 3) + 40 * np.sin(np.arange(6000) / 1.7) + rng.integers(-3, 4, 6000)).astype(np.int8)
+    prose = (np.frombuffer((sentence := "the quick brown fox jumps over the lazy dog again " * 60).encode(), np.uint8) ^ 0x80).view(np.int8)
+    edge = np.where(rng.integers(0, 2, 4000), 127, -128).astype(np.int8)
+    steep = np.tile(np.array([-128, 127], np.int8), 1500)
+    assert len(sentence) == len(prose)
+    for x in (wave, prose, edge, steep):
+        for block in (576, 192, 17, 16, 4):
+            assert (flac.decode(flac.encode(x, block)) == x).all()
+    media = flac.encode(wave)
+    assert set(_subframe_types(media)) == {0b100000 | flac.TAPS - 1}
+    for f, (_, _, x) in zip(flac._frames_of(media)[2], flac.pcm_blocks(media), strict=True):
+        assert flac._subframe(flac._Reader(f[flac._head_size(f)[0] : -2]), len(x), 8) == x.tolist()
+    alone = [flac.encode(x) for x in (wave, prose, edge)]
+    assert flac.encode_many([edge, prose, wave, prose]) == [alone[2], alone[1], alone[0], alone[1]]
+
+
 def test_media_digests(spark):
     texts = [None, "", "a", "é" * 800, "b" * 576, "abc " * 20000, "a"]
     rows = sorted(flac.media_digests(docs(spark, texts)).collect())

@@ -1,15 +1,15 @@
-"""Secret scanning with a trigram index, in DataFrame functions only.
+"""Secret scanning with an inverted trigram index, in DataFrame functions only.
 
 Each rule is a regular expression.  From its parse tree a Boolean query over lower-case
-trigrams is derived (any of several sets, all of a set).  The index keeps the postings
-of just the trigrams some rule needs, as bitmaps: one bit a trigram in a long column
-beside each row, so intersecting postings is a bitwise test and no text is shuffled.
-Rows that pass are verified with the expression itself; rules without a mandatory
-trigram scan every row.
+trigrams is derived (any of several sets, all of a set).  The index holds the postings of
+the trigrams that some rule needs: (trigram, key of a text), the key being the text's
+SHA-256, so copies of a text are one entry.  Posting lists are intersected by an aggregate
+over the keys, and the texts that are left are verified with the expressions themselves;
+rules without a mandatory trigram scan every text.
 
 Nulls count as the empty text.  Rows are judged one by one, so repeated rows repeat
-their result and other columns pass through.  Time is linear in the text and quadratic
-only in the number of matches of one rule in one text.
+their result and other columns pass through.  Time is linear in the text and almost so
+in the number of matches of one rule in one text (``CHUNK`` of them at a time).
 """
 
 from __future__ import annotations
@@ -43,6 +43,19 @@ BASE_RULES = (
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}"),
 )
 
+#: Forms of further credentials, beside the base rules.
+MORE_RULES = (
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{3,64}@"),
+)
+RULES = BASE_RULES + MORE_RULES
+
+#: Matches whose spans are gathered at a time.
+CHUNK = 256
+#: Parts into which the rows of one text are dealt when they meet its candidates.
+SALTS = 32
+
 #: A rule with more alternatives than this scans every row.
 ALTERNATIVES = 64
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -86,42 +99,37 @@ def _walk(tree, states: set) -> set:
     return states
 
 
-def _bits(rules: tuple[Rule, ...]) -> dict[str, int]:
-    return {t: i for i, t in enumerate(sorted(set().union(*(s for r in rules for s in trigram_query(r.pattern)))))}
+def needed_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams of all rules' queries."""
+    return sorted(set().union(*(q for r in rules for q in trigram_query(r.pattern))))
 
 
-def with_trigram_bitmap(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text", bitmap: str = "_trigrams") -> DataFrame:
-    """Add the array-of-long column ``bitmap``: bit i is set if the row is in the postings of the i-th needed trigram."""
+def text_key(text: str = "text") -> Column:
+    """What texts are known by in the index: 32 bytes."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256))
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The index: a row (trigram, key) for each needed trigram that a text holds.  Copies of a text may repeat their rows."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    bits = _bits(rules)
-    words = []
-    for at in range(0, len(bits), 63):
-        word = F.lit(0).cast("long")
-        for t, i in list(bits.items())[at : at + 63]:
-            word = word.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i - at).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(word)
-    return docs.withColumn(bitmap, F.array(*words) if words else F.array().cast("array<bigint>"))
-
-
-def postings(docs: DataFrame, key: str = "doc_id", rules: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
-    """The same index as rows (trigram, key), for storing or joining elsewhere."""
-    bits = _bits(rules)
-    marked = with_trigram_bitmap(docs.select(key, text), rules, text)
-    held = [F.when(F.col("_trigrams")[i // 63].bitwiseAND(F.lit(1 << i % 63)) != 0, F.lit(t)) for t, i in bits.items()]
-    return marked.select(key, F.explode(F.array_compact(F.array(*held))).alias("trigram"))
-
-
-def _is_candidate(rule: Rule, bits: dict[str, int], bitmap: str) -> Column:
-    either = None
-    for wanted in trigram_query(rule.pattern):
-        masks: dict[int, int] = {}
-        for t in wanted:
-            masks[bits[t] // 63] = masks.get(bits[t] // 63, 0) | 1 << bits[t] % 63
-        both = F.lit(True)
-        for at, mask in masks.items():
-            both = both & (F.col(bitmap)[at].bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        either = both if either is None else either | both
-    return either
+    held = F.filter(F.array(*map(F.lit, needed_trigrams(rules))).cast("array<string>"), lambda t: F.contains(low, t))
+    return docs.select(text_key(text).alias("key"), F.explode(held).alias("trigram")).select("trigram", "key")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, rules): the numbers of the rules whose query the postings of a text satisfy, for texts that have any."""
+    merged = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
+    passed = []
+    for k, rule in enumerate(rules):
+        either = F.lit(False)
+        for wanted in trigram_query(rule.pattern):
+            if wanted:
+                both = F.lit(True)
+                for t in sorted(wanted):
+                    both = both & F.array_contains("held", t)
+                either = either | both
+        passed.append(F.when(either, F.lit(k)))
+    return merged.select("key", F.array_compact(F.array(*passed)).alias("rules")).filter(F.size("rules") > 0)
 
 
 def _spans(rule: Rule, kind: int, text: Column) -> Column:
@@ -142,31 +150,45 @@ def _spans(rule: Rule, kind: int, text: Column) -> Column:
         spans = F.when(x["held"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(F.coalesce(stop, acc["at"]).alias("at"), spans.alias("spans"))  # the last gap has no match
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(sizes, begin, step, lambda acc: acc["spans"])
+    def chunk(acc: Column, k: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("spans"))
+        done = F.aggregate(F.slice(sizes, k * CHUNK + 1, CHUNK), begin, step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["spans"], F.array(done["spans"])).alias("spans"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(hits) / CHUNK)).cast("int"))
+    return F.aggregate(chunks, begin, chunk, lambda acc: F.flatten(acc["spans"]))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text", spans: str = "secret_spans") -> DataFrame:
-    """Add the column ``spans``: (start, kind, stop) of every match, by start, then kind's place in ``rules``; stop is exclusive."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", spans: str = "secret_spans") -> DataFrame:
+    """Add the column ``spans``: (start, kind, stop) of every match, by start, then kind's place in ``rules``; stop is exclusive.
+
+    The rows of one text are dealt to ``SALTS`` parts by their partition, so many copies don't meet in one task.
+    """
+    names = docs.columns
     whole = F.coalesce(F.col(text), F.lit(""))
-    bits = _bits(rules)
-    bitmap = free_name(docs, "_trigrams")
-    marked = with_trigram_bitmap(docs, rules, text, bitmap)
+    key, salt, mine = (free_name(docs, n) for n in ("_key", "_salt", "_rules"))
+    found = candidates(postings(docs, rules, text), rules)
+    dealt = found.select(F.col("key").alias(key), F.col("rules").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    keyed = docs.withColumn(key, text_key(text)).withColumn(salt, F.spark_partition_id() % SALTS)
+    joined = keyed.join(dealt, [key, salt], "left")
     none = F.array().cast(SPAN)
-    found = []
+    made = []
     for k, rule in enumerate(rules):
-        ready = _is_candidate(rule, bits, bitmap) & whole.rlike(rule.pattern)
-        found.append(F.when(ready, _spans(rule, k, whole)).otherwise(none))
-    return marked.withColumn(spans, F.array_sort(F.concat(*found))).drop(bitmap)
+        ready = whole.rlike(rule.pattern)
+        if all(trigram_query(rule.pattern)):
+            ready = F.coalesce(F.array_contains(mine, k), F.lit(False)) & ready
+        made.append(F.when(ready, _spans(rule, k, whole)).otherwise(none))
+    return joined.select(*names, F.array_sort(F.concat(*made)).alias(spans))
 
 
-def span_text(spans: Column, rules: tuple[Rule, ...] = BASE_RULES) -> Column:
+def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """kind:start:stop, comma-joined."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Replace each secret (overlapping spans as one) in ``text`` by its kind in square brackets; other rows and columns stay as they are."""
     names = docs.columns
     kinds = F.array(*(F.lit(f"[{r.kind.upper()}]") for r in rules))
@@ -195,9 +217,10 @@ def _count(spans: str, kind: int) -> Column:
 
 def secret_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, a count a base rule, the digest of the base spans and all spans as text."""
-    found = find_secrets(docs.select(key, text), BASE_RULES, text, "_spans")
+    found = find_secrets(docs.select(key, text), RULES, text, "_spans")
     counts = [_count("_spans", k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
-    return found.select(key, *counts, F.sha2(span_text(F.col("_spans")), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+    base = F.filter("_spans", lambda x: x["kind"] < len(BASE_RULES))
+    return found.select(key, *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
 
 
 def _either_case(words: str) -> str:
@@ -209,6 +232,7 @@ def duckdb_sql() -> str:
     assign = BASE_RULES[0].pattern.removeprefix("(?i)")
     words, rest = assign[: assign.index(")") + 1], assign[assign.index(")") + 1 :]
     patterns = {"assign": (_either_case(words) + rest, 2, 6), "access": (BASE_RULES[1].pattern, 0, 0), "hex": ("[0-9a-f]{24,}", 0, 0)}
+    patterns |= {r.kind: (r.pattern, r.group, r.least) for r in MORE_RULES}
     parts = []
     for k, (kind, (pattern, group, least)) in enumerate(patterns.items()):
         p = "'" + pattern.replace("'", "''") + "'"
@@ -218,6 +242,7 @@ def duckdb_sql() -> str:
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({" UNION ALL ".join(parts)}),
 a AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k) FILTER (k < 3) AS base,
   string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, k) AS spans FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""

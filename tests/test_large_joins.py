@@ -45,3 +45,8 @@ def dealt(spark, tables, how, limit):
 @pytest.mark.parametrize("how", ["LEFT", "RIGHT", "FULL"])
 def test_large_outer_inequality_is_dealt(spark, tables, how, limit):
     dealt(spark, tables, how, limit)
+
+
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_large_inner_inequality_is_dealt(spark, tables, limit):
+    dealt(spark, tables, "INNER", limit)

@@ -7,6 +7,7 @@ import pytest
 
 from plait.operators import joins
 from plait.operators.joins import join_tables, unequal_counts
+from plait.operators.strategies import physical_join
 from plait.queries import QUERIES
 
 @pytest.fixture
@@ -61,3 +62,15 @@ def test_unequal_pairs_are_counted_without_making_them(spark, tables, how):
         assert tuple(unequal_counts(left, other, how, "k", "k", "v").first()) == want
     plan = QUERIES["ne_right_big"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "NOT (l_suppkey" not in plan  # no join tests each pair
+
+
+def block_join(tables, how):
+    con, left, right = tables
+    for key in ("k", "d", "t"):
+        joined = join_tables(left, right, how, key, "=", key, "block_nl")
+        assert physical_join(joined) == ["SortMergeJoin"]  # on the numbers of the blocks, not pairs of all rows
+        assert same(con, joined, how, key, "=")
+
+
+def test_large_block_join_inner(spark, tables):
+    block_join(tables, "INNER")

@@ -74,3 +74,7 @@ def block_join(tables, how):
 
 def test_large_block_join_inner(spark, tables):
     block_join(tables, "INNER")
+
+
+def test_large_block_join_full(spark, tables):
+    block_join(tables, "FULL")

@@ -78,3 +78,7 @@ def test_large_block_join_inner(spark, tables):
 
 def test_large_block_join_full(spark, tables):
     block_join(tables, "FULL")
+
+
+def test_large_block_join_right(spark, tables):
+    block_join(tables, "RIGHT")

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from plait.llm import simhash
+from plait.llm import passages, simhash
 from plait.llm.simhash import components, roots_of
 
 
@@ -24,3 +25,21 @@ def test_roots_of_a_long_shuffled_chain():
     order = np.random.default_rng(1).permutation(5000)
     node, root = roots_of(order[:-1], order[1:])
     assert (node == np.arange(5000)).all() and not root.any()
+
+
+def test_frequent_shingles_are_counted_on_all_rows(spark, monkeypatch):
+    """With a share of 1 in 4 of 80 rows, 20 texts are the limit; copies count once, in whichever partition they are."""
+    monkeypatch.setattr(passages, "SAMPLE", 32)
+    rng = random.Random(6)
+    words = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(12)) for _ in range(80)]
+    for k in range(21):
+        words[3 * k] += " a b c d e"  # one more than the limit
+    for k in range(20):
+        words[3 * k + 1] += " v w x y z"
+    words[-8:] = [words[1]] * 8  # repeats a text with the second one
+    rows = spark.createDataFrame([(t,) for t in words], "data string").select(F.xxhash64("data").alias("text"), "data").repartition(7)
+    copied = rows.groupBy("text").count().filter("count > 1").select("text")
+    for chunk in (20, 1 << 22):
+        monkeypatch.setattr(passages, "CHUNK_TOKENS", chunk)
+        found = passages.frequent_shingles(rows, 80, copied)
+        assert found.tolist() == passages.shingle_hashes("a b c d e").tolist()

@@ -82,3 +82,32 @@ def test_large_block_join_full(spark, tables):
 
 def test_large_block_join_right(spark, tables):
     block_join(tables, "RIGHT")
+
+
+@pytest.fixture
+def apart(spark, tmp_path, monkeypatch):
+    """Many left keys beyond those of the right side."""
+    monkeypatch.setattr(joins, "LARGE_WORK", 0)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l AS SELECT range AS k, range % 7 AS v FROM range(6000) UNION ALL SELECT NULL, 1")
+    con.execute("CREATE TABLE r AS SELECT range - 5 AS k, range % 5 AS w FROM range(300) UNION ALL SELECT NULL, 2")
+    for t in "lr":
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    return con, *(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in "lr")
+
+
+def blocks_are_even(apart, monkeypatch, how):
+    con, left, right = apart
+    made = []
+    text = joins._range_text
+    monkeypatch.setattr(joins, "_range_text", lambda name, cuts, base: made.append(cuts) or text(name, cuts, base))
+    joined = join_tables(left, right, how, "k", "=", "k", "block_nl")
+    assert same(con, joined, how, "k", "=")
+    edges = [float("-inf"), *max(made, key=len), float("inf")]
+    for table, n in (("l", 6000), ("r", 300)):
+        most = max(con.execute(f"SELECT count(*) FROM {table} WHERE k >= ? AND k < ?", list(e)).fetchone()[0] for e in zip(edges, edges[1:]))
+        assert most <= n / 50  # of about 150 blocks; no block holds all left rows beyond the right side
+
+
+def test_large_block_join_full_of_keys_beyond_the_other_side(apart, monkeypatch):
+    blocks_are_even(apart, monkeypatch, "FULL")

@@ -111,3 +111,7 @@ def blocks_are_even(apart, monkeypatch, how):
 
 def test_large_block_join_full_of_keys_beyond_the_other_side(apart, monkeypatch):
     blocks_are_even(apart, monkeypatch, "FULL")
+
+
+def test_large_block_join_right_of_keys_beyond_the_other_side(apart, monkeypatch):
+    blocks_are_even(apart, monkeypatch, "RIGHT")

@@ -43,3 +43,28 @@ def test_frequent_shingles_are_counted_on_all_rows(spark, monkeypatch):
         monkeypatch.setattr(passages, "CHUNK_TOKENS", chunk)
         found = passages.frequent_shingles(rows, 80, copied)
         assert found.tolist() == passages.shingle_hashes("a b c d e").tolist()
+
+
+def test_candidates_for_frequent_shingles_are_those_of_all_rows(spark, monkeypatch):
+    """Shingles that are crowded in one partition, but rare in all, are no candidates, and what is counted grows with the rows only."""
+    monkeypatch.setattr(passages, "SAMPLE", 32)
+    monkeypatch.setattr(passages, "CHUNK_ROWS", 10)
+    seen = []
+    crowded = passages.crowded
+    monkeypatch.setattr(passages, "crowded", lambda some, limit: seen.append(crowded(some, limit)) or seen[-1])
+    words = [" ".join([f"w{k // 8} x{k // 8} y{k // 8} z{k // 8}", *(f"v{k}_{i}" if i > 8 else f"u{k // 8}_{i}" for i in range(12))]) for k in range(80)]  # eight alike beside each other
+    rows = spark.createDataFrame([(t,) for t in words], "data string").coalesce(8).select(F.xxhash64("data").alias("text"), "data")
+    assert not len(passages.frequent_shingles(rows, 80, rows.limit(0).select("text")))
+    assert not seen[0].any()
+
+
+def test_shingles_of_texts_laid_end_to_end():
+    rng = random.Random(8)
+    texts = ["", " ", "a", "a b c d", "A b\tc d E", *(" ".join(rng.choice(["foo", "Bär", "x", " ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(50))]
+    rng.shuffle(texts)
+    alone = [passages.shingle_hashes(t).tolist() for t in texts]
+    for size in (1, 100, 1 << 20):
+        groups = list(passages.in_groups(enumerate(t.encode() for t in texts), size))
+        assert [k for g in groups for k, _ in g] == list(range(len(texts)))
+        assert sum((passages.shingles_together([t for _, t in g])[0].tolist() for g in groups), []) == sum(alone, [])
+    assert [t.tolist() for _, t in passages.each_shingles(enumerate(t.encode() for t in texts))] == alone

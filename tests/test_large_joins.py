@@ -115,3 +115,37 @@ def test_large_block_join_full_of_keys_beyond_the_other_side(apart, monkeypatch)
 
 def test_large_block_join_right_of_keys_beyond_the_other_side(apart, monkeypatch):
     blocks_are_even(apart, monkeypatch, "RIGHT")
+
+
+def joined_rows(spark, joined):
+    """Numbers of rows that the two sides bring to the join."""
+    node = joined._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    sides = (node.children().apply(k) for k in range(2))
+    return tuple(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, side).count() for side in sides)
+
+
+def test_large_block_join_right_leaves_out_left_keys_beyond_the_right_side(spark, apart):
+    con, left, right = apart
+    joined = join_tables(left, right, "RIGHT", "k", "=", "k", "block_nl")
+    assert joined_rows(spark, joined) == (295, 301)  # of 6001 left rows; every right row is kept
+    assert same(con, joined, "RIGHT", "k", "=")
+    for cond in ("k IS NULL", "k > 7000"):  # no partner at all
+        want = con.execute(f"SELECT * FROM l RIGHT JOIN (SELECT * FROM r WHERE {cond}) r ON l.k = r.k").fetchall()
+        joined = join_tables(left, right.filter(cond), "RIGHT", "k", "=", "k", "block_nl")
+        assert sorted(map(repr, map(tuple, joined.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("how", ["INNER", "LEFT", "FULL"])
+def test_large_block_joins_leave_out_no_kept_row(spark, apart, how):
+    con, left, right = apart
+    assert same(con, join_tables(left, right, how, "k", "=", "k", "block_nl"), how, "k", "=")
+
+
+def test_range_text_counts_cuts(spark):
+    values = [float("-inf"), -1.5, -0.0, 0.0, 1.0, 2.0, 1e300, float("inf")]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for cuts in ([], [0.0], [-1.5, 0.0], [0.0, 1.0, 2.0], [-1.5, 0.0, 1.0, 2.0, 1e300], [1.0, float("inf")]):
+        found = [r[0] for r in df.selectExpr(joins._range_text("x", cuts, 0)).collect()]
+        assert found == [sum(c <= x for c in cuts) for x in values], cuts

@@ -143,6 +143,33 @@ def test_large_block_joins_leave_out_no_kept_row(spark, apart, how):
     assert same(con, join_tables(left, right, how, "k", "=", "k", "block_nl"), how, "k", "=")
 
 
+@pytest.mark.parametrize("dealt", ["l", "r"])
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_large_inner_order_is_tested_within_blocks(spark, tables, monkeypatch, dealt, op):
+    con, left, right = tables
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(joins, "size_in_bytes", lambda df: 2 if dealt in df.columns[-1] else 1)
+    left, right = left.withColumnRenamed("v", "v_l"), right.withColumnRenamed("v", "v_r")
+    for key in ("d", "k", "t"):
+        joined = join_tables(left, right, "INNER", key, op, key)
+        sent = "r" if dealt == "l" else "l"
+        met, blocks = joined_rows(spark, joined)
+        known = con.execute(f"SELECT count({key}) FROM {sent}").fetchone()[0]
+        assert blocks == -(-known // 4)
+        pairs = con.execute(f"SELECT count(*) FROM l JOIN r ON l.{key} {op} r.{key}").fetchone()[0]
+        rows = con.execute(f"SELECT count({key}) FROM {dealt}").fetchone()[0]
+        assert met <= pairs / 4 + 2 * rows  # of each row, full blocks of partners, one that holds some, and the last, which isn't full
+        assert joined.columns == ["d", "k", "t", "v_l", "right_d", "right_k", "right_t", "v_r"]
+        assert same(con, joined, "", key, op)
+
+
+def test_large_inner_order_of_empty_or_unknown_keys(spark, tables):
+    con, left, right = tables
+    for cond in ("k IS NULL", "k > 100"):
+        assert join_tables(left, right.filter(cond), "INNER", "k", "<", "k").count() == 0
+        assert join_tables(left.filter(cond), right, "INNER", "k", "<", "k").count() == 0
+
+
 def test_range_text_counts_cuts(spark):
     values = [float("-inf"), -1.5, -0.0, 0.0, 1.0, 2.0, 1e300, float("inf")]
     df = spark.createDataFrame([(x,) for x in values], "x double")

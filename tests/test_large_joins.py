@@ -176,3 +176,30 @@ def test_range_text_counts_cuts(spark):
     for cuts in ([], [0.0], [-1.5, 0.0], [0.0, 1.0, 2.0], [-1.5, 0.0, 1.0, 2.0, 1e300], [1.0, float("inf")]):
         found = [r[0] for r in df.selectExpr(joins._range_text("x", cuts, 0)).collect()]
         assert found == [sum(c <= x for c in cuts) for x in values], cuts
+
+
+def blocks_follow_each_other(spark, tmp_path, monkeypatch, how, op):
+    """In each task's part of the result the pairs of one block of sent rows stand together, so the files repeat few sent rows at a time."""
+    monkeypatch.setattr(joins, "LARGE_WORK", 0)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 64)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l AS SELECT range AS i, hash(range) % 5000 AS a FROM range(3000)")
+    con.execute("CREATE TABLE r AS SELECT hash(range + 7) AS j, range * 5 AS b, 'name-' || hash(range) AS n FROM range(1, 1000)")
+    for t in "lr":
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    left, right = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in "lr")
+    monkeypatch.setattr(joins, "size_in_bytes", lambda df: 2 if "i" in df.columns else 1)
+    out = f"{tmp_path}/out"
+    join_tables(left, right, how, "a", op, "b").write.parquet(out)
+    want = con.execute(f"SELECT count(*), sum(hash(i, a, j, b, n)) FROM l {how} JOIN r ON a {op} b").fetchone()
+    assert con.execute(f"SELECT count(*), sum(hash(i, a, j, b, n)) FROM '{out}/*.parquet'").fetchone() == want
+    parts = con.execute(f"SELECT list((b // 5 - 1) // 64 ORDER BY file_row_number) FROM read_parquet('{out}/*.parquet', file_row_number = true, filename = true) WHERE b IS NOT NULL GROUP BY filename").fetchall()
+    assert len(parts) >= 8
+    for (blocks,) in parts:
+        assert sum(x != y for x, y in zip(blocks, blocks[1:])) == len(set(blocks)) - 1
+    (size,) = con.execute(f"SELECT sum(total_compressed_size) FROM parquet_metadata('{out}/*.parquet')").fetchone()
+    return size / want[0]
+
+
+def test_large_inner_order_writes_blocks_together(spark, tmp_path, monkeypatch):
+    assert blocks_follow_each_other(spark, tmp_path, monkeypatch, "INNER", "<") < 2  # bytes a row

@@ -203,3 +203,7 @@ def blocks_follow_each_other(spark, tmp_path, monkeypatch, how, op):
 
 def test_large_inner_order_writes_blocks_together(spark, tmp_path, monkeypatch):
     assert blocks_follow_each_other(spark, tmp_path, monkeypatch, "INNER", "<") < 2  # bytes a row
+
+
+def test_large_left_order_writes_blocks_together(spark, tmp_path, monkeypatch):
+    assert blocks_follow_each_other(spark, tmp_path, monkeypatch, "LEFT", ">") < 2
